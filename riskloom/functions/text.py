@@ -40,24 +40,27 @@ def bigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(steps, lambda i: F.substring(c, i, F.lit(2))))
 
 
-def similarity(a: Column, b: Column, grams_a: Column | None = None,
-               grams_b: Column | None = None, min_contained: int = 0) -> Column:
+def similarity(a: Column, b: Column, min_contained: int = 0) -> Column:
     """1.0 if equal, 0.85 if one holds the other, else Jaccard of the bigram sets.
 
     Takes names that are already normalised. ``min_contained`` is the shortest text that may
     count as contained; 0 lets an empty name be contained in every other one.
     """
-    grams_a = bigrams(a) if grams_a is None else grams_a
-    grams_b = bigrams(b) if grams_b is None else grams_b
-    shared = F.size(F.array_intersect(grams_a, grams_b))
-    union = F.size(grams_a) + F.size(grams_b) - shared
+    grams_a, grams_b = bigrams(a), bigrams(b)
+    return similarity_of(a, b, F.size(grams_a), F.size(grams_b),
+                         F.size(F.array_intersect(grams_a, grams_b)), min_contained)
+
+
+def similarity_of(a: Column, b: Column, size_a: Column, size_b: Column, shared: Column,
+                  min_contained: int = 0) -> Column:
+    """The same from the sizes of both bigram sets and of what they share."""
     contained = b.contains(a) | a.contains(b)
     if min_contained:
         contained = contained & (F.least(F.length(a), F.length(b)) >= min_contained)
     return (F.when(a == b, F.lit(1.0))
             .when(contained, F.lit(0.85))
-            .when((F.size(grams_a) == 0) | (F.size(grams_b) == 0), F.lit(0.0))
-            .otherwise(shared / F.greatest(union, F.lit(1))))
+            .when((size_a == 0) | (size_b == 0), F.lit(0.0))
+            .otherwise(shared / F.greatest(size_a + size_b - shared, F.lit(1))))
 
 
 def human_label(c: Column) -> Column:

@@ -1,8 +1,8 @@
 """Matching of unknown column names to the required ones, for many files in one job.
 
 Input is a table of column names ``(file_id, pos, name)``. The required side is a fixed list of
-twelve names, so every name is scored against it inside its own row: no join and no shuffle
-until the best source per (file, required column) is picked by a combinable aggregation.
+twelve names, so a name is scored against all of it inside its own row; the best source per
+(file, required column) is picked by an aggregation that combines before its shuffle.
 """
 
 from itertools import chain
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import schema
-from riskloom.functions.text import bigrams, normalise, similarity
+from riskloom.functions.text import bigrams, normalise, similarity_of
 
 THRESHOLD = 0.60
 
@@ -47,28 +47,44 @@ def _required_array() -> Column:
     return F.array(*entries)
 
 
+def judged_names(names: DataFrame, threshold: float = THRESHOLD,
+                 strict: bool = False) -> DataFrame:
+    """Every distinct name once, with the array of required columns it may stand for."""
+    prepared = (names.select("name").distinct()
+                .withColumn("_norm", normalise(F.col("name")))
+                .withColumn("_grams", bigrams(F.col("_norm"))))
+
+    def shared(r: Column) -> Column:
+        return F.struct(r.alias("r"), F.size(F.array_intersect(r.grams, F.col("_grams")))
+                        .alias("shared"))
+
+    def judge(x: Column) -> Column:
+        r = x["r"]
+        score = similarity_of(r["norm"], F.col("_norm"), F.size(r["grams"]), F.size("_grams"),
+                              x["shared"], 0 if strict else 2)
+        exact = r["required"] == F.col("name")
+        spelled = F.array_contains(r["spellings"], F.col("_norm"))
+        return F.struct(
+            r["required"].alias("required"),
+            F.when(exact, 1).when(spelled, 2).otherwise(3).alias("prio"),
+            F.when(exact, 1.0).when(spelled, 0.95).otherwise(score).alias("score"))
+
+    judged = F.filter(F.transform(F.transform(_required_array(), shared), judge),
+                      lambda x: x["score"] >= threshold)
+    return prepared.select("name", judged.alias("_judged")).filter(F.size("_judged") > 0)
+
+
 def candidates(names: DataFrame, threshold: float = THRESHOLD,
                strict: bool = False) -> DataFrame:
     """Possible sources per required column: ``prio`` 1 exact, 2 known spelling, 3 similar.
 
-    ``strict`` lets names of no or one letter count as contained in others. A name without any
-    candidate stays as a row with a null ``required``.
+    Headers repeat the same names over and over, so each distinct name is scored once and
+    joined back; adaptive execution broadcasts the scored names if they turn out small and
+    splits a name that fills a partition otherwise. ``strict`` lets names of no or one letter
+    count as contained in others. A name without candidates keeps a row with null ``required``.
     """
-    prepared = names.withColumn("_norm", normalise(F.col("name"))).withColumn(
-        "_grams", bigrams(F.col("_norm")))
-
-    def judge(r: Column) -> Column:
-        score = similarity(r.norm, F.col("_norm"), r.grams, F.col("_grams"),
-                           0 if strict else 2)
-        exact = r.required == F.col("name")
-        spelled = F.array_contains(r.spellings, F.col("_norm"))
-        return F.struct(
-            r.required.alias("required"),
-            F.when(exact, 1).when(spelled, 2).otherwise(3).alias("prio"),
-            F.when(exact, 1.0).when(spelled, 0.95).otherwise(score).alias("score"))
-
-    judged = F.filter(F.transform(_required_array(), judge), lambda x: x.score >= threshold)
-    return (prepared.select("file_id", "pos", "name", F.explode_outer(judged).alias("c"))
+    scored = names.join(judged_names(names, threshold, strict), "name", "left")
+    return (scored.select("file_id", "pos", "name", F.explode_outer("_judged").alias("c"))
             .select("file_id", "pos", "name", "c.*"))
 
 
@@ -77,7 +93,7 @@ def best_sources(names: DataFrame, threshold: float = THRESHOLD,
     """Best source per (file, required): exact, then first known spelling, then most similar,
     the first in file order on a tie. Files without any match keep one row of nulls."""
     pick = F.min_by(F.struct("name", "score", "prio"),
-                    F.struct("prio", -F.col("score"), F.col("pos")))
+                    F.struct("prio", -F.col("score"), F.col("pos"), F.col("name")))
     best = candidates(names, threshold, strict).groupBy("file_id", "required").agg(
         pick.alias("b"))
     method = F.element_at(F.create_map(*chain.from_iterable(

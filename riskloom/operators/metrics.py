@@ -30,34 +30,38 @@ def confusion_matrix(df: DataFrame, label: str = "fraude",
                           for c in (0, 1)])
 
 
-def classification_report(df: DataFrame, by: list[str] = (), label: str = "fraude",
-                          prediction: str = "prediccion") -> DataFrame:
-    """Long rows ``(clase, metrica, valor)`` from the four confusion counts."""
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+def _report(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, dict[str, Column]]:
+    """Classification report as expressions over the four confusion counts."""
     s0, s1 = tn + fp, tp + fn
     parts = {
         "precision": (ratio(tn, tn + fn), ratio(tp, tp + fp)),
         "recall": (ratio(tn, s0), ratio(tp, s1)),
         "f1-score": (ratio(2 * tn, 2 * tn + fn + fp), ratio(2 * tp, 2 * tp + fp + fn)),
     }
-    rows: list[Column] = []
-
-    def row(clase: str, metrica: str, value: Column) -> None:
-        rows.append(F.struct(F.lit(clase).alias("clase"), F.lit(metrica).alias("metrica"),
-                             value.cast("double").alias("valor")))
-
-    for name, (zero, one) in parts.items():
-        row("0", name, zero)
-        row("1", name, one)
-        row("macro avg", name, (zero + one) / 2)
-        row("weighted avg", name, ratio(zero * s0 + one * s1, s0 + s1))
-    row("0", "support", s0)
-    row("1", "support", s1)
-    row("macro avg", "support", s0 + s1)
-    row("weighted avg", "support", s0 + s1)
-    row("accuracy", "accuracy", ratio(tp + tn, s0 + s1))
+    out = {
+        "0": {m: zero for m, (zero, _) in parts.items()} | {"support": s0},
+        "1": {m: one for m, (_, one) in parts.items()} | {"support": s1},
+        "macro avg": {m: (zero + one) / 2 for m, (zero, one) in parts.items()}
+        | {"support": s0 + s1},
+        "weighted avg": {m: ratio(zero * s0 + one * s1, s0 + s1)
+                         for m, (zero, one) in parts.items()} | {"support": s0 + s1},
+        "accuracy": {"accuracy": ratio(tp + tn, s0 + s1)},
+    }
+    return {c: {m: v.cast("double") for m, v in row.items()} for c, row in out.items()}
+
+
+def _long(report: dict[str, dict[str, Column]]) -> Column:
+    return F.explode(F.array(*[
+        F.struct(F.lit(c).alias("clase"), F.lit(m).alias("metrica"), v.alias("valor"))
+        for c, row in report.items() for m, v in row.items()])).alias("m")
+
+
+def classification_report(df: DataFrame, by: list[str] = (), label: str = "fraude",
+                          prediction: str = "prediccion") -> DataFrame:
+    """Long rows ``(clase, metrica, valor)`` from the four confusion counts."""
     counts = confusion(df, by, label, prediction)
-    return counts.select(*by, F.explode(F.array(*rows)).alias("m")).select(*by, "m.*")
+    rows = _long(_report(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
+    return counts.select(*by, rows).select(*by, "m.*")
 
 
 def specificity(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -67,23 +71,28 @@ def specificity(df: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def curve(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str = "q",
-          buckets: int | None = None) -> DataFrame:
+          buckets: int | None = None, prediction: str | None = None) -> DataFrame:
     """Cumulative counts at each distinct score, highest first: ``tp, fp, pos, neg`` and the
-    counts ``p, n`` at the score itself.
+    counts ``p, n`` at the score itself; with a prediction also ``p1, n1``, those predicted 1.
 
     The window runs over distinct scores, at most 10,001 per group for ``q``. For scores off
     that grid give ``buckets``: running sums then work per bucket of [0, 1], and only bucket
     totals are summed in one place.
     """
     by = list(by)
+    y = F.col(label)
+    counts = {"p": F.count_if(y == 1), "n": F.count_if(y == 0)}
+    if prediction:
+        counts |= {"p1": F.count_if((y == 1) & (F.col(prediction) == 1)),
+                   "n1": F.count_if((y == 0) & (F.col(prediction) == 1))}
     at = df.groupBy(*by, F.col(score).alias("umbral")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    at = at.withColumn("_all", F.lit(0))
+        *[c.alias(name) for name, c in counts.items()]).withColumn("_all", F.lit(0))
     keys = [*by, "_all"]
-    upto = W.partitionBy(*keys).orderBy(F.desc("umbral")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
     if buckets is None:
-        return at.select(*by, "umbral", "p", "n", F.sum("p").over(upto).alias("tp"),
+        upto = W.partitionBy(*keys).orderBy(F.desc("umbral")).rowsBetween(
+            W.unboundedPreceding, 0)
+        return at.select(*by, "umbral", *counts, F.sum("p").over(upto).alias("tp"),
                          F.sum("n").over(upto).alias("fp"), F.sum("p").over(whole).alias("pos"),
                          F.sum("n").over(whole).alias("neg"))
     at = at.withColumn("_b", F.floor(F.col("umbral") * buckets))
@@ -95,31 +104,41 @@ def curve(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str =
     inner = W.partitionBy(*keys, "_b").orderBy(F.desc("umbral")).rowsBetween(
         W.unboundedPreceding, 0)
     return at.join(sums, [*keys, "_b"]).select(
-        *by, "umbral", "p", "n", (F.sum("p").over(inner) + F.col("tp0")).alias("tp"),
+        *by, "umbral", *counts, (F.sum("p").over(inner) + F.col("tp0")).alias("tp"),
         (F.sum("n").over(inner) + F.col("fp0")).alias("fp"), "pos", "neg")
 
 
+_WHOLE = "decimal(19,0)"
+
+
+def _auc() -> Column:
+    """Twice the area is summed in whole numbers, so that the order of rows cannot matter."""
+    twice = F.sum(F.col("n").cast(_WHOLE) * (2 * F.col("tp") - F.col("p")).cast(_WHOLE))
+    both = 2 * F.max("pos").cast(_WHOLE) * F.max("neg").cast(_WHOLE)
+    return F.when(both > 0, twice.cast("double") / both.cast("double"))
+
+
+def _ap() -> Column:
+    """Precision times the recall gained at each score (steps, not trapezoids)."""
+    gain = F.sum(F.col("p") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return F.when(F.max("pos") > 0, gain / F.max("pos"))
+
+
 def roc_auc(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str = "q",
             buckets: int | None = None) -> DataFrame:
-    """Area under the ROC curve with ties; twice the area is summed in whole numbers."""
-    big = "decimal(19,0)"
-    points = curve(df, by, label, score, buckets)
-    twice = F.sum(F.col("n").cast(big) * (2 * F.col("tp") - F.col("p")).cast(big))
-    area = points.groupBy(*by).agg(twice.alias("a"), F.max("pos").alias("pos"),
-                                   F.max("neg").alias("neg"))
-    both = 2 * F.col("pos").cast(big) * F.col("neg").cast(big)
-    return area.select(*by, F.when(both > 0, F.col("a").cast("double") / both.cast("double"))
-                       .alias("roc_auc"))
+    return curve(df, by, label, score, buckets).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, by: list[str] = (), label: str = "fraude",
                       score: str = "q", buckets: int | None = None) -> DataFrame:
-    """Sum of precision times the recall gained at each score (steps, not trapezoids)."""
-    points = curve(df, by, label, score, buckets)
-    gain = F.col("p") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    sums = points.groupBy(*by).agg(F.sum(gain).alias("s"), F.max("pos").alias("pos"))
-    return sums.select(*by, F.when(F.col("pos") > 0, F.col("s") / F.col("pos"))
-                       .alias("pr_auc"))
+    return curve(df, by, label, score, buckets).groupBy(*by).agg(_ap().alias("pr_auc"))
+
+
+def areas(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str = "q",
+          buckets: int | None = None) -> DataFrame:
+    """Both areas from one pass over the curve."""
+    return curve(df, by, label, score, buckets).groupBy(*by).agg(
+        _auc().alias("roc_auc"), _ap().alias("pr_auc"))
 
 
 def roc_points(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str = "q",
@@ -139,26 +158,20 @@ def pr_points(df: DataFrame, by: list[str] = (), label: str = "fraude", score: s
 def metrics_document(df: DataFrame, by: list[str] = (), label: str = "fraude",
                      prediction: str = "prediccion", score: str = "q",
                      buckets: int | None = None) -> DataFrame:
-    """One nested document per group: areas and the classification report as structs."""
-    by = list(by)
-    keyed = df if by else df.withColumn("_one", F.lit(0))
-    keys = by or ["_one"]
-    long = classification_report(keyed, keys, label, prediction)
-
-    def at(clase: str, metrica: str) -> Column:
-        return F.max(F.when((F.col("clase") == clase) & (F.col("metrica") == metrica),
-                            F.col("valor"))).alias(metrica)
-
-    names = ["precision", "recall", "f1-score", "support"]
-    report = long.groupBy(*keys).agg(F.struct(
-        *[F.struct(*[at(c, m) for m in names]).alias(c) for c in ("0", "1")],
-        at("accuracy", "accuracy").alias("accuracy"),
-        *[F.struct(*[at(c, m) for m in names]).alias(c) for c in ("macro avg", "weighted avg")],
-    ).alias("classification_report"))
-    out = (roc_auc(keyed, keys, label, score, buckets)
-           .join(average_precision(keyed, keys, label, score, buckets), keys)
-           .join(report, keys))
-    return out if by else out.drop("_one")
+    """One nested document per group: areas and the classification report as structs.
+
+    The confusion counts ride along with the curve, so the rows are read and shuffled once.
+    """
+    sums = curve(df, by, label, score, buckets, prediction).groupBy(*by).agg(
+        _auc().alias("roc_auc"), _ap().alias("pr_auc"), F.sum("p1").alias("tp"),
+        F.sum("n1").alias("fp"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    tp, fp = F.col("tp"), F.col("fp")
+    report = _report(tp, fp, F.col("neg") - fp, F.col("pos") - tp)
+    nested = F.struct(*[
+        row["accuracy"].alias(c) if c == "accuracy"
+        else F.struct(*[v.alias(m) for m, v in row.items()]).alias(c)
+        for c, row in report.items()])
+    return sums.select(*by, "roc_auc", "pr_auc", nested.alias("classification_report"))
 
 
 def metrics_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

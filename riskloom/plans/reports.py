@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schema
 from riskloom.operators.clean import present
-from riskloom.operators.metrics import average_precision, classification_report, roc_auc
+from riskloom.operators.metrics import metrics_document
 from riskloom.operators.review import feedback_summary
 
 
@@ -24,19 +24,17 @@ def fraud_report(scored: DataFrame, stamp: bool = True, id_col: str = "tx_id") -
 def performance_report(scored: DataFrame, feedback: DataFrame, score: str = "q",
                        info: dict[str, str] | None = None) -> DataFrame:
     """Long rows ``(seccion, metrica, valor)``; ``texto`` carries parameters and stamps."""
-    long = classification_report(scored).filter(F.col("clase").isin("0", "1", "accuracy"))
-    section = (F.when(F.col("clase") == "0", F.lit("Clase 0 - Legítima"))
-               .when(F.col("clase") == "1", F.lit("Clase 1 - Fraude"))
-               .otherwise(F.lit("Métricas generales")))
-    parts = [
-        long.select(section.alias("seccion"), F.initcap("metrica").alias("metrica"), "valor"),
-        roc_auc(scored, score=score).select(
-            F.lit("Métricas generales").alias("seccion"), F.lit("ROC AUC").alias("metrica"),
-            F.col("roc_auc").alias("valor")),
-        average_precision(scored, score=score).select(
-            F.lit("Métricas generales").alias("seccion"), F.lit("PR AUC").alias("metrica"),
-            F.col("pr_auc").alias("valor")),
-    ]
+    doc = metrics_document(scored, score=score)
+    general, report = "Métricas generales", F.col("classification_report")
+    cells = [(general, "ROC AUC", F.col("roc_auc")), (general, "PR AUC", F.col("pr_auc")),
+             (general, "Accuracy", report["accuracy"])]
+    for clase, title in (("0", "Clase 0 - Legítima"), ("1", "Clase 1 - Fraude")):
+        cells += [(title, m.capitalize(), report[clase][m])
+                  for m in ("precision", "recall", "f1-score", "support")]
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("seccion"), F.lit(m).alias("metrica"), v.alias("valor"))
+        for s, m, v in cells])).alias("r")
+    parts = [doc.select(rows).select("r.*")]
     totals = feedback_summary(feedback).filter(F.col("usuario") == "*")
     texts = {"total": "Total marcaciones",
              "verdaderos_positivos": "Verdaderos positivos confirmados",

@@ -133,7 +133,7 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manual_choices(names: DataFrame) -> DataFrame:
     """A user's answers for every required column of every file: its first column, a skip, or
     a column that does not exist."""
-    first = names.groupBy("file_id").agg(F.min_by("name", "pos").alias("_first"))
+    first = names.groupBy("file_id").agg(F.min_by("name", F.struct("pos", "name")).alias("_first"))
     wanted = F.posexplode(F.array(*[F.lit(r) for r in schema.REQUIRED])).alias("_i", "required")
     answer = (F.when(F.col("_i") % 3 == 0, F.col("_first")).when(F.col("_i") % 3 == 1, "__omitir__")
               .otherwise("no_existe"))

@@ -205,7 +205,7 @@ view("scores", f"""
 view("best", """
   select file_id, required, name, score, prio from (
     select file_id, required, h.name, score, prio, row_number() over (
-      partition by file_id, required order by prio, score desc, pos) as k
+      partition by file_id, required order by prio, score desc, pos, h.name) as k
     from headers h join scores c on h.name = c.name where score >= cast(0.60 as double))
   where k = 1""", "headers scores")
 

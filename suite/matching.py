@@ -79,7 +79,7 @@ def apply_mapping(spark, sf_dir):
     case when b.name is not null then 'automatico' when m.name is not null then 'manual'
       else 'falta' end as origen
   from (select h.file_id, slot, required, first_name from (
-      select file_id, arg_min(name, pos) as first_name from headers group by file_id) h
+      select file_id, arg_min(name, (pos, name)) as first_name from headers group by file_id) h
     cross join required) f
   left join best b on b.file_id = f.file_id and b.required = f.required
   left join (select distinct file_id, name from headers) m on m.file_id = f.file_id

@@ -125,9 +125,7 @@ def _book(spark, sf_dir):
   from model_auc""", "model_auc")
 def model_areas(spark, sf_dir):
     rows = adapter.model_scores(spark, sf_dir)
-    both = metrics.roc_auc(rows, ["modelo"]).join(
-        metrics.average_precision(rows, ["modelo"]), "modelo")
-    return both.select("modelo", r6("roc_auc"), r6("pr_auc"))
+    return metrics.areas(rows, ["modelo"]).select("modelo", r6("roc_auc"), r6("pr_auc"))
 
 
 @query("select modelo, clase, metrica, valor from model_report", "model_report")

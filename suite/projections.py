@@ -273,7 +273,7 @@ def tab_legitimate(spark, sf_dir):
     return filters.tab(adapter.scored_tx(spark, sf_dir), "legitimas").select("tx_id", "q")
 
 
-@query("""select resultado, count(*) as n, sum(q) as suma_q from (
+@query("""select resultado, count(*) as n, cast(sum(q) as bigint) as suma_q from (
   select q, case when fraude = 1 and prediccion = 1 then '✅ Verdadero Positivo'
     when fraude = 0 and prediccion = 1 then '❌ Falso Positivo'
     when fraude = 0 and prediccion = 0 then '✅ Verdadero Negativo'

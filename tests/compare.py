@@ -34,8 +34,20 @@ def _rows(names, rows):
     return sorted(names), Counter(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+SQL_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double"}
+
+
+def type_difference(df, con, sql: str) -> list:
+    """Columns whose types are not the same on both sides."""
+    other = {r[0]: SQL_TYPES.get(r[1], r[1]) for r in con.execute("describe " + sql).fetchall()}
+    return [(n, t, other.get(n)) for n, t in df.dtypes if other.get(n) != t]
+
+
 def difference(df, con, sql: str) -> str | None:
     """None if both sides agree, else what differs."""
+    types = type_difference(df, con, sql)
+    if types:
+        return f"types {types}"
     left_names, left = _rows(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
@@ -46,8 +58,7 @@ def difference(df, con, sql: str) -> str | None:
         a, b = left - right, right - left
         return (f"{sum(left.values())} vs {sum(right.values())} rows; only Spark {sum(a.values())}:"
                 f" {list(a)[:2]}; only SQL {sum(b.values())}: {list(b)[:2]}")
-    kinds = {bool(type(x) is bool) for r in left for x in r}
-    return "boolean column" if True in kinds else None
+    return None
 
 
 def main() -> int:
