@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from riskloom import schema
 from riskloom.functions.labels import error_tag, outcome_text
-from riskloom.operators.ranks import keys_at_ranks, rank_page
+from riskloom.operators.ranks import keys_at_ranks, one_group, rank_page
 
 SHALLOW = 10_000     # a page that ends before this row is cut by a top-k sort
 
@@ -25,15 +25,11 @@ def error_rows(df: DataFrame, id_col: str = "tx_id", first: int = 50) -> DataFra
     """The first false negatives and false positives by id, with the full count of each kind."""
     tagged = df.withColumn("tipo_error", error_tag(F.col("fraude"), F.col("prediccion")))
     wrong = tagged.filter(F.col("tipo_error").isNotNull())
-    kinds = list(schema.ERROR_TAGS.values())
-    totals = wrong.agg(F.struct(*[
-        F.count_if(F.col("tipo_error") == kind).alias(f"n{i}")
-        for i, kind in enumerate(kinds)]).alias("t"))
-    parts = [wrong.filter(F.col("tipo_error") == kind).orderBy(id_col).limit(first)
-             .withColumn("_t", totals.scalar())
-             .withColumn("n_tipo", F.col(f"_t.n{i}")).drop("_t")
-             for i, kind in enumerate(kinds)]
-    return parts[0].unionByName(parts[1])
+    totals = wrong.groupBy("tipo_error").agg(F.count("*").alias("n_tipo"))
+    place = F.row_number().over(W.partitionBy("tipo_error").orderBy(id_col))
+    # the rank limit is applied in every task before the shuffle, so no kind is a hot group
+    top = wrong.withColumn("_k", place).filter(F.col("_k") <= first).drop("_k")
+    return top.join(F.broadcast(totals), "tipo_error")
 
 
 def search(df: DataFrame, pattern: str, cols: list[str] | None = None) -> DataFrame:
@@ -95,7 +91,7 @@ def run_page(df: DataFrame, number: int, size: int = 10) -> DataFrame:
         return asked.select("_all", "pagina", ends).select(
             "_all", F.struct("pagina", "e.side").alias("target"), "e.k")
 
-    cuts = keys_at_ranks(df.select(F.lit(0).alias("_all"), *key), ["_all"], key,
+    cuts = keys_at_ranks(df.select(one_group("archivo").alias("_all"), *key), ["_all"], key,
                          F.substring("fecha", 1, 10), as_targets)
     ends = cuts.agg(F.struct(
         F.max("target.pagina").alias("pagina"),

@@ -71,7 +71,8 @@ def judged_names(names: DataFrame, threshold: float = THRESHOLD,
 
     judged = F.filter(F.transform(F.transform(_required_array(), shared), judge),
                       lambda x: x["score"] >= threshold)
-    return prepared.select("name", judged.alias("_judged")).filter(F.size("_judged") > 0)
+    # no filter on empty arrays here: it would be pushed below the distinct, onto every row
+    return prepared.select("name", judged.alias("_judged"))
 
 
 def candidates(names: DataFrame, threshold: float = THRESHOLD,

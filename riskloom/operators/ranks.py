@@ -43,6 +43,12 @@ def keys_at_ranks(df: DataFrame, by: list[str], key: list[str], bucket: Column,
             .select(*by, "target", *key))
 
 
+def one_group(col: str) -> Column:
+    """0 on every row, but not a constant: a constant key would turn the joins on it into
+    nested loops."""
+    return F.least(F.length(F.col(col).cast("string")), F.lit(0))
+
+
 def hash_order(id_col: str, seed: int) -> Column:
     """Repeatable pseudo-random order of the rows, the same on every engine with md5."""
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
@@ -121,7 +127,7 @@ def rank_page(df: DataFrame, page: int, size: int, id_col: str = "tx_id") -> Dat
                      F.least(F.lit(last).cast("long"), F.col("n")).alias("k")))).alias("e")
         return sizes.select("_all", ends).select("_all", F.col("e.t").alias("target"), "e.k")
 
-    cuts = keys_at_ranks(df.select(F.lit(0).alias("_all"), id_col), ["_all"], [id_col],
+    cuts = keys_at_ranks(df.select(one_group(id_col).alias("_all"), id_col), ["_all"], [id_col],
                          F.shiftright(F.col(id_col), ID_BITS), as_targets)
     bounds = cuts.agg(F.max(F.when(F.col("target") == "after", F.col(id_col))).alias("a"),
                       F.max(F.when(F.col("target") == "upto", F.col(id_col))).alias("b"))

@@ -59,8 +59,8 @@ def similar_rows(df: DataFrame, refs: DataFrame, id_col: str = "tx_id",
         right = F.broadcast(right)
     else:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                                 .cast("long"))
+        right = right.withColumn("_salt", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         keys = ["_bucket", "_salt"]
     t, r = left.alias("t"), right.alias("r")
     on = F.lit(True)
@@ -87,64 +87,44 @@ def similar_counts(df: DataFrame, id_col: str = "tx_id") -> DataFrame:
     """
     cell = [STATE, PLACE, DUE, "q"]
     cells = df.groupBy(*cell).agg(F.count("*").alias("n"))
-
-    none = F.lit(None)
     s, p, d, q = (F.col(c) for c in cell)
-    kinds = [("sp", 1, s, p, none), ("sd", 1, s, none, d), ("pd", 1, none, p, d),
-             ("spd", -2, s, p, d)]
-
-    def known(kind: str) -> Column:
-        wanted = {"s": s, "p": p, "d": d}
-        ok = F.lit(True)
-        for letter in kind:
-            ok = ok & wanted[letter].isNotNull()
-        return ok
-
-    def group(kind: str, a: Column, b: Column, c: Column, due: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"),
-                        b.cast("string").alias("b"),
-                        (due if kind.endswith("d") else c).cast("long").alias("c"))
-
-    # where each cell counts: once for "sp", for three neighbouring due values otherwise
-    places = F.flatten(F.array(*[
-        F.when(known(kind), F.array(*[group(kind, a, b, c, d + step)
-                                      for step in ((-1, 0, 1) if kind.endswith("d") else (0,))])
-               ).otherwise(F.array())
-        for kind, _, a, b, c in kinds]))
-    points = (cells.select(F.explode(places).alias("g"), "q", "n")
-              .groupBy("g", "q").agg(F.sum("n").alias("n"))
-              .select("g", F.col("q").alias("at"), F.lit(0).alias("turn"), "n",
-                      F.lit(None).cast("int").alias("q"), F.lit(0).alias("sign")))
-    # what each cell asks for: the running sum at both ends of its band
-    asks = F.filter(F.array(*[
-        F.when(known(kind), F.struct(group(kind, a, b, c, d).alias("g"),
-                                     F.lit(factor).alias("factor")))
-        for kind, factor, a, b, c in kinds]), lambda x: x.isNotNull())
-    asked = cells.select(*cell, F.explode(asks).alias("w")).select(*cell, "w.g", "w.factor")
-    ends = F.explode(F.array(
-        F.struct((q + BAND).alias("at"), F.lit(1).alias("sign")),
-        F.struct((q - BAND - 1).alias("at"), F.lit(-1).alias("sign")))).alias("e")
-    probes = asked.select("g", "q").distinct().select("g", "q", ends).select(
-        "g", F.col("e.at").alias("at"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n"),
-        "q", F.col("e.sign").alias("sign"))
-    running = F.sum("n").over(W.partitionBy("g").orderBy("at", "turn")
+
+    def entry(kind: str, due: Column, at: Column, turn: int, n: Column, factor: int) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.when(F.lit("s" in kind), s).alias("a"), F.when(F.lit("p" in kind), p).alias("b"),
+            F.when(F.lit("d" in kind), due).cast("long").alias("c"),
+            at.cast("long").alias("at"), F.lit(turn).alias("turn"), n.cast("long").alias("m"),
+            F.lit(factor).alias("factor"))
+
+    entries = []
+    for kind, factor in (("sp", 1), ("sd", 1), ("pd", 1), ("spd", -2)):
+        known = F.lit(True)
+        for letter, trait in (("s", s), ("p", p), ("d", d)):
+            if letter in kind:
+                known = known & trait.isNotNull()
+        # the cell is seen from three neighbouring due values, and asks at both ends of its band
+        rows = [entry(kind, d + step, q, 0, F.col("n"), 0)
+                for step in ((-1, 0, 1) if "d" in kind else (0,))]
+        rows += [entry(kind, d, q + BAND, 1, F.lit(0), factor),
+                 entry(kind, d, q - BAND - 1, 1, F.lit(0), -factor)]
+        entries.append(F.when(known, F.array(*rows)).otherwise(F.array()))
+    line = cells.select(*cell, F.explode(F.flatten(F.array(*entries))).alias("e")).select(
+        *cell, "e.*")
+    running = F.sum("m").over(W.partitionBy("kind", "a", "b", "c").orderBy("at", "turn")
                               .rowsBetween(W.unboundedPreceding, 0))
-    bands = (points.unionByName(probes).withColumn("upto", running).filter("turn = 1")
-             .groupBy("g", "q").agg(F.sum(F.col("sign") * F.col("upto")).alias("near")))
-    per_cell = (asked.join(bands, ["g", "q"]).groupBy(*cell)
-                .agg((F.sum(F.col("factor") * F.col("near"))).alias("near")))
-
-    # the row itself is among those near it as soon as two of its traits are known
-    own = (s.isNotNull().cast("int") + p.isNotNull().cast("int")
-           + d.isNotNull().cast("int") >= 2).cast("int")
+    per_cell = (line.withColumn("upto", running).filter("turn = 1").groupBy(*cell)
+                .agg(F.sum(F.col("factor") * F.col("upto")).alias("near")))
+
     left = df.select(id_col, *cell).alias("t")
     right = per_cell.alias("c")
     on = F.lit(True)
+    traits = F.lit(0)
     for c in cell:
         on = on & F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}"))
-    return left.join(right, on, "left").select(
-        F.col(f"t.{id_col}"),
-        (F.coalesce(F.col("c.near"), F.lit(0))
-         - (F.col(f"t.{STATE}").isNotNull().cast("int") + F.col(f"t.{PLACE}").isNotNull()
-            .cast("int") + F.col(f"t.{DUE}").isNotNull().cast("int") >= 2).cast("int"))
-        .cast("long").alias("n_similares"))
+        if c != "q":
+            traits = traits + F.col(f"t.{c}").isNotNull().cast("int")
+    # a row is near itself as soon as two of its traits are known
+    near = F.coalesce(F.col("c.near"), F.lit(0)) - (traits >= 2).cast("int")
+    return left.join(right, on, "left").select(F.col(f"t.{id_col}"),
+                                               near.cast("long").alias("n_similares"))

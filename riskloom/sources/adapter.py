@@ -5,8 +5,6 @@ verdicts, runs and competing models from them, with whole-number arithmetic so t
 engine gets the same rows. All of them grow with the tables.
 """
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,16 +101,21 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    joined = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey"), "left"))
     style = F.col("o_custkey") % 10
     reach = F.when(style.between(1, 3), 4).when(style.between(4, 5), 8).otherwise(12)
+    sizes = F.array(*[F.lit(len(schema.SYNONYMS[r])) for r in schema.REQUIRED])
     slot = (F.col("l_partkey") % reach).cast("int")
-    required = F.element_at(F.array(*[F.lit(r) for r in schema.REQUIRED]), slot + 1)
-    spellings = F.element_at(F.create_map(*chain.from_iterable(
-        (F.lit(i), F.array(*[F.lit(s) for s in schema.SYNONYMS[r]]))
-        for i, r in enumerate(schema.REQUIRED))), slot)
-    spelling = F.element_at(spellings, (F.col("l_suppkey") % F.size(spellings) + 1).cast("int"))
+    words = spark.createDataFrame(
+        [(i, j, r, s) for i, r in enumerate(schema.REQUIRED)
+         for j, s in enumerate(schema.SYNONYMS[r])],
+        "slot int, place int, required string, spelling string")
+    joined = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+              .withColumn("slot", slot)
+              .withColumn("place", (F.col("l_suppkey") % F.element_at(
+                  sizes, F.col("slot") + 1)).cast("int"))
+              .join(F.broadcast(words), ["slot", "place"]))
+    required, spelling = F.col("required"), F.col("spelling")
     kind = (F.col("l_quantity").cast("int") % 6)
     word = F.substring_index(F.coalesce(F.col("p_name"), F.lit("x y")), " ", 1)
     variant = (F.when(kind == 0, F.upper(spelling))
