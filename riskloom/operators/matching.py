@@ -114,31 +114,36 @@ def match_columns(names: DataFrame, threshold: float = THRESHOLD,
 def mapping_verdicts(best: DataFrame) -> DataFrame:
     """Verdict per file over ``best_sources``; at most twelve entries are gathered per file."""
     wanted = len(schema.REQUIRED)
-    renamed = F.col("required").isNotNull() & (F.col("name") != F.col("required"))
     per_file = best.groupBy("file_id").agg(
-        F.count("required").alias("n_encontradas"),
-        F.count_distinct(F.when(renamed, F.col("name"))).alias("n_renombradas"),
-        F.count_distinct(F.col("name")).alias("_sources"),
         F.sort_array(F.collect_list(F.when(F.col("required").isNotNull(), F.struct(
             "required", "name")))).alias("mapeo"))
-    found, total = F.col("n_encontradas"), F.lit(wanted)
-    verdict = (F.when((found == total) & (F.col("n_renombradas") == 0), F.lit("ok"))
-               .when(found == total, F.lit("auto"))
-               .when(found * 2 >= total, F.lit("parcial"))
+
+    def distinct_sources(entries: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(entries, lambda m: m["name"]))).cast("long")
+
+    changed = F.filter("mapeo", lambda m: m["name"] != m["required"])
+    counted = per_file.select(
+        "file_id", "mapeo", F.size("mapeo").cast("long").alias("n_encontradas"),
+        distinct_sources(changed).alias("n_renombradas"),
+        distinct_sources(F.col("mapeo")).alias("_sources"))
+    found, renamed = F.col("n_encontradas"), F.col("n_renombradas")
+    verdict = (F.when((found == wanted) & (renamed == 0), F.lit("ok"))
+               .when(found == wanted, F.lit("auto"))
+               .when(found * 2 >= wanted, F.lit("parcial"))
                .when(found > 0, F.lit("vacio")).otherwise(F.lit("imposible")))
     missing = F.array_except(F.array(*[F.lit(r) for r in schema.REQUIRED]),
-                             F.transform("mapeo", lambda m: m.required))
-    out = per_file.select(
+                             F.transform("mapeo", lambda m: m["required"]))
+    out = counted.select(
         "file_id", verdict.alias("estado"), "n_encontradas", "n_renombradas",
         (found > F.col("_sources")).cast("int").alias("conflicto"), "mapeo",
         missing.alias("faltantes"))
-    n_missing = F.size("faltantes")
-    message = (F.when(F.col("estado") == "ok", F.lit("Todas las columnas coinciden."))
-               .when(F.col("estado") == "auto", F.format_string(
-                   "Se renombraron %d columnas.", F.col("n_renombradas")))
-               .when(F.col("estado") == "imposible", F.lit("No se detectó ninguna columna."))
-               .otherwise(F.format_string("Se encontraron %d columnas; faltan %d por asignar.",
-                                          F.col("n_encontradas"), n_missing)))
+    left, texts = wanted - found, schema.MAPPING_TEXTS
+    values = {"ok": [], "auto": [renamed], "parcial": [found, F.lit(wanted), left],
+              "vacio": [found, left], "imposible": []}
+    message = F.lit(None).cast("string")
+    for state, numbers in values.items():
+        text = F.format_string(texts[state], *numbers) if numbers else F.lit(texts[state])
+        message = F.when(F.col("estado") == state, text).otherwise(message)
     return out.withColumn("mensaje", message)
 
 

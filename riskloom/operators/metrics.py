@@ -3,9 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.labels import ratio
 
+RAW_BUCKETS = 4096
+
 
 def confusion(df: DataFrame, by: list[str] = (), label: str = "fraude",
               prediction: str = "prediccion") -> DataFrame:
@@ -75,11 +78,13 @@ def curve(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str =
     """Cumulative counts at each distinct score, highest first: ``tp, fp, pos, neg`` and the
     counts ``p, n`` at the score itself; with a prediction also ``p1, n1``, those predicted 1.
 
-    The window runs over distinct scores, at most 10,001 per group for ``q``. For scores off
-    that grid give ``buckets``: running sums then work per bucket of [0, 1], and only bucket
-    totals are summed in one place.
+    For whole-number scores the window runs over distinct scores, at most 10,001 per group for
+    ``q``. Raw scores have no such bound: there the running sums work per bucket of [0, 1], and
+    only bucket totals are summed in one place. ``buckets`` is their number.
     """
     by = list(by)
+    if buckets is None and not isinstance(df.schema[score].dataType, T.IntegralType):
+        buckets = RAW_BUCKETS
     y = F.col(label)
     counts = {"p": F.count_if(y == 1), "n": F.count_if(y == 0)}
     if prediction:

@@ -89,7 +89,7 @@ UNKNOWN = "desconocido"
 # --- Fixed values: verdict and display texts ---------------------------------------------------
 MARK_TRUE = "verdadero_positivo"
 MARK_FALSE = "falso_positivo"
-CLASS_FRAUD, CLASS_LEGIT = "Fraude", "Legítima"
+CLASS_FRAUD, CLASS_LEGIT = "⚠️ Fraudulenta", "Legítima"
 LABEL_FRAUD, LABEL_LEGIT, LABEL_NONE = "✔ Fraude (1)", "✔ Legítima (0)", "— sin revisar"
 OUTCOMES = {
     (1, 1): "✅ Verdadero Positivo",
@@ -98,6 +98,14 @@ OUTCOMES = {
     (1, 0): "❌ Falso Negativo",
 }
 ERROR_TAGS = {(1, 0): "⚠️ Falso Negativo", (0, 1): "❌ Falso Positivo"}
+MAPPING_TEXTS = {
+    "ok": "Todas las columnas coinciden.",
+    "auto": "Se detectaron %d columnas con nombres diferentes y se renombraron automáticamente.",
+    "parcial": "Se encontraron %d de %d columnas. Faltan %d: necesitamos que las asignes"
+               " manualmente.",
+    "vacio": "Solo se encontraron %d columnas. Necesitamos asignar %d manualmente.",
+    "imposible": "No se pudo detectar ninguna columna requerida en el archivo.",
+}
 REPORT_COLUMNS = [
     "Timestamp_reporte", "Numero_tarjeta", "Tipo_tarjeta", "Estado_tarjeta", "Acumulado_cupo",
     "Cuotas_mora", "Localizacion_tarjeta", "probabilidad", "clasificacion", "marcacion_usuario",

@@ -124,7 +124,7 @@ view("scored0", """
 
 view("scored", """
   select *, q / cast(10000 as double) as probabilidad, cast(q >= 5000 as int) as prediccion,
-    case when q >= 5000 then 'Fraude' else 'Legítima' end as clasificacion
+    case when q >= 5000 then '⚠️ Fraudulenta' else 'Legítima' end as clasificacion
   from scored0""", "scored0")
 
 view("reviewed", """

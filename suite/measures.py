@@ -58,7 +58,7 @@ def roc_curve(spark, sf_dir):
   from curve""", "curve")
 def pr_curve(spark, sf_dir):
     """On raw probabilities, by buckets: the form for scores that are on no grid."""
-    return metrics.pr_points(adapter.scored_tx(spark, sf_dir), score="probabilidad", buckets=1024)
+    return metrics.pr_points(adapter.scored_tx(spark, sf_dir), score="probabilidad")
 
 
 _SECTIONS = """case clase when '0' then 'Clase 0 - Legítima' when '1' then 'Clase 1 - Fraude'

@@ -208,7 +208,7 @@ def effective_label(spark, sf_dir):
     return rows.select("tx_id", labels.effective_label(rows.columns).alias("fraude"))
 
 
-@query("""select tx_id, case when prediccion = 1 then 'Fraude' else 'Legítima' end
+@query("""select tx_id, case when prediccion = 1 then '⚠️ Fraudulenta' else 'Legítima' end
     as clasificacion, probabilidad from scored""", "scored")
 def class_text(spark, sf_dir):
     return adapter.scored_tx(spark, sf_dir).select(

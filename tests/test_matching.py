@@ -40,6 +40,9 @@ def test_verdict(verdicts, file_id, state, found, renamed):
     row = verdicts[file_id]
     assert (row.estado, row.n_encontradas, row.n_renombradas) == (state, found, renamed)
     assert len(row.faltantes) == 12 - found
+    numbers = [int(w) for w in row.mensaje.replace(":", "").split() if w.isdigit()]
+    assert numbers == {"auto": [renamed], "parcial": [found, 12, 12 - found],
+                       "vacio": [found, 12 - found]}.get(state, [])
 
 
 def test_how_names_were_found(spark):
