@@ -54,3 +54,17 @@ def checkpoint(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
+
+
+def store(df, name: str, key: str):
+    """Writes a table that is read many times, and reads it back.
+
+    A table of fewer splits than there are cores is spread over them by its unique key; a larger
+    one keeps the splits of its files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
