@@ -135,20 +135,26 @@ def zscore_inverse(df: DataFrame, source: DataFrame, cols: list[str],
     return df.withColumn("_s", stats.scalar()).withColumns(raw).drop("_s")
 
 
-def categories(df: DataFrame, cols: list[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct values per column; refuses columns with more than ``limit`` of them."""
-    rows = category_counts(df, cols).select("columna", "valor").limit(
-        limit * len(cols) + 1).collect()
-    found = {c: sorted(r.valor for r in rows if r.columna == c) for c in cols}
-    if len(rows) > limit * len(cols) or any(len(v) > limit for v in found.values()):
-        raise ValueError(f"more than {limit} categories in one of {cols}")
+def known_categories(df: DataFrame, cols: list[str], limit: int = 1000
+                     ) -> dict[str, dict[str, int]]:
+    """Category counts per column, values sorted; refuses a column with more than ``limit``.
+
+    At most ``limit`` rows per column and one more reach the driver.
+    """
+    if not cols:
+        return {}
+    rows = category_counts(df, cols).limit(limit * len(cols) + 1).collect()
+    found = {c: {r.valor: r.n for r in sorted(rows) if r.columna == c} for c in cols}
+    over = [c for c, counts in found.items() if len(counts) > limit]
+    if over or len(rows) > limit * len(cols):
+        raise ValueError(f"more than {limit} categories: {over or cols}")
     return found
 
 
 def dummies(df: DataFrame, cols: list[str], known: dict[str, list[str]] | None = None,
             ) -> DataFrame:
     """0/1 column per category, without the first one in sorted order."""
-    known = known or categories(df, cols)
+    known = known or {c: list(v) for c, v in known_categories(df, cols).items()}
     coded = {f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("int")
              for c in cols for v in known[c][1:]}
     return df.withColumns(coded).drop(*cols)
