@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from riskloom.llm import q_mixing, q_secrets  # noqa: F401
+from riskloom.llm import q_mixing, q_quality, q_secrets  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES  # noqa: F401
