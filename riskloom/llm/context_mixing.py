@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.textblocks import LOWER, SPACE, blocks, texts_of
 
-ORDERS = (1, 2, 3, 5)
+ORDERS = (3, 4, 5, 6)
 #: The contexts: the orders above, and the word so far (its last eight bytes).
 CONTEXTS = len(ORDERS) + 1
 ROW_BITS = 18
@@ -38,10 +38,12 @@ MOST_BYTES = 3 << 19
 TOGETHER = 64
 #: Bytes whose contexts are worked out at once.
 NEAR_BYTES = 1 << 15
-RATE = 0.008
+RATE = 0.004
 #: Bits that a bin of the adaptive map must see before it moves by half its error.
 MAP_CALM = 32.0
-START_WEIGHT = 0.3
+START_WEIGHT = 0.27
+#: Times that either bit counts as seen before any text, for the first decision of a row.
+PRIOR = 0.1
 #: Log odds of the tables in steps of 1/12, within one signed byte.
 SCALE = 12.0
 MAP_BINS = 24
@@ -138,7 +140,8 @@ def _odds(batches):
         for depth in (3, 2, 1, 0):
             pairs = leaf.reshape(len(leaf), 1 << depth, 2)
             zero, one = pairs[:, :, 0], pairs[:, :, 1]
-            sure = np.log((one + 0.4 / (1 << (3 - depth))) / (zero + 0.4 / (1 << (3 - depth))))
+            calm = PRIOR / (1 << (3 - depth))
+            sure = np.log((one + calm) / (zero + calm))
             out[:, 1 << depth:2 << depth] = np.clip(np.rint(sure * SCALE), -127, 127)
             leaf = pairs.sum(2)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out.tobytes()], pa.binary())],
@@ -152,26 +155,26 @@ def train(docs: DataFrame, text: str = "text", tasks: int = 24) -> Model:
     odds = np.zeros(CONTEXTS * _TABLE, np.int8)
     for k, part in zip(found.column("stripe").to_pylist(), found.column("odds").to_pylist()):
         odds[k * STRIPE:(k + 1) * STRIPE] = np.frombuffer(part, np.int8)
-    return Model(odds.reshape(CONTEXTS, _TABLE))
+    return Model({"odds": odds})
 
 
 class Model:
     """Log odds of the bit decisions below each row, as the corpus has them."""
 
-    def __init__(self, odds: np.ndarray):
-        self.odds = odds
+    def __init__(self, tables: dict):
+        """``tables`` holds ``odds``; what is worked out from them is kept there for later tasks."""
+        self.tables = tables
 
     def paths(self) -> np.ndarray:
         """For each cell of each context the log odds of its four decisions, side by side."""
-        if not hasattr(self, "_paths"):
-            rows = self.odds.reshape(CONTEXTS, -1, 16)
+        if "paths" not in self.tables:
+            rows = self.tables["odds"].reshape(CONTEXTS, -1, 16)
             half = np.arange(16)
-            self._paths = np.stack([rows[:, :, (1 << j) | (half >> (4 - j))] for j in range(4)],
-                                   axis=3).reshape(CONTEXTS, -1, 4).view(np.uint32)[:, :, 0]
-        return self._paths
-
-    def __getstate__(self):
-        return {"odds": self.odds}
+            paths = np.empty((CONTEXTS, rows.shape[1], 16, 4), np.int8)
+            for j in range(4):
+                paths[:, :, :, j] = rows[:, :, (1 << j) | (half >> (4 - j))]
+            self.tables["paths"] = paths.view(np.uint32).reshape(CONTEXTS, -1)
+        return self.tables["paths"]
 
     def inputs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds of each predictor for the eight bits of each byte, a signed byte each."""
@@ -273,23 +276,12 @@ def _pieces(data: np.ndarray, offsets: np.ndarray):
         low = high
 
 
-def text_bits(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """One row per document: (doc_id, bits, n_bytes), the end byte included."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches):
-        for batch in batches:
-            for low, high, data, offsets in blocks(texts_of(batch.column("text")), 32 << 20):
-                bits = np.zeros(high - low)
-                for pick, piece, own in _pieces(data, offsets):
-                    bits[pick] = code_lengths(shared.value, *_with_ends(piece, own))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[low:high], pa.array(bits), pa.array(np.diff(offsets) + 1)],
-                    ["doc_id", "bits", "n_bytes"])
-
-    kind = dict(docs.dtypes)[ident]
-    return (docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-            .mapInArrow(work, f"doc_id {kind}, bits double, n_bytes long"))
+def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits that the model needs for each text of a block, its end byte included."""
+    bits = np.zeros(len(offsets) - 1)
+    for pick, piece, own in _pieces(data, offsets):
+        bits[pick] = code_lengths(model, *_with_ends(piece, own))
+    return bits
 
 
 def is_held_out(ident: Column) -> Column:

@@ -15,9 +15,11 @@ ids are rows of their own; several labels of an id count as its highest one; nul
 out; an empty table gives an empty result.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.textblocks import LOWER, SPACE, blocks, texts_of, word_hashes, word_spans
@@ -80,19 +82,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+@dataclass(frozen=True)
 class Neighbours:
     """Labelled vectors, and the projection that makes them."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK):
-        self.rarity = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))).astype(np.float32)
-        x = counts * self.rarity
-        random = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, len(x))))
-        span = np.linalg.qr(x @ random)[0]
-        for _ in range(3):
-            span = np.linalg.qr(x @ (x.T @ span))[0]
-        self.axes = np.linalg.svd(span.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-        self.vectors = _unit(x @ self.axes).astype(np.float32)
-        self.labels = labels.astype(np.float64)
+    rarity: np.ndarray
+    axes: np.ndarray
+    vectors: np.ndarray
+    labels: np.ndarray
 
     def score(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         own = _unit((counts * self.rarity) @ self.axes)
@@ -104,6 +101,23 @@ class Neighbours:
         return np.where(np.abs(own).sum(1) > 0, votes, self.labels.mean())
 
 
+def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Neighbours:
+    rarity = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))).astype(np.float32)
+    x = counts * rarity
+    random = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, len(x))))
+    span = np.linalg.qr(x @ random)[0]
+    for _ in range(3):
+        span = np.linalg.qr(x @ (x.T @ span))[0]
+    axes = np.linalg.svd(span.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
+    return Neighbours(rarity, axes, _unit(x @ axes).astype(np.float32), labels.astype(np.float64))
+
+
+def _sent(spark: SparkSession, model: Neighbours | None):
+    """A broadcast of the model's arrays, and the function that makes the model of them in a task."""
+    shared = spark.sparkContext.broadcast(model and (model.rarity, model.axes, model.vectors, model.labels))
+    return lambda: Neighbours(*shared.value) if shared.value else None
+
+
 def is_held_out(ident: Column) -> Column:
     """Rows never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % 5 == 0
@@ -133,20 +147,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     if not found.num_rows:
         return None
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.float16)
-    return Neighbours(counts.reshape(-1, WIDTH).astype(np.float32), found.column("label").to_numpy())
+    return fit(counts.reshape(-1, WIDTH).astype(np.float32), found.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Neighbours | None, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: (doc_id, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    received = _sent(docs.sparkSession, model)
 
     def judge(batches):
+        its = received()
         for batch in batches:
             for low, high, data, offsets in blocks(texts_of(batch.column("text"))):
-                if shared.value is None:
-                    values = np.ones(high - low)
-                else:
-                    values = shared.value.score(features(data, offsets))
+                values = its.score(features(data, offsets)) if its else np.ones(high - low)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[low:high], pa.array(values)], ["doc_id", "score"])
 
@@ -158,15 +170,16 @@ def score(docs: DataFrame, model: Neighbours | None, text: str = "text", ident:
 def keep_good(docs: DataFrame, model: Neighbours | None, text: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score under ``threshold``, all columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    received = _sent(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def judge(batches):
+        its = received()
         for batch in batches:
-            if shared.value is None or not batch.num_rows:
+            if its is None or not batch.num_rows:
                 yield batch
                 continue
-            values = np.concatenate([shared.value.score(features(data, offsets))
+            values = np.concatenate([its.score(features(data, offsets))
                                      for _, _, data, offsets in blocks(texts_of(batch.column(at)))])
             yield batch.filter(pa.array(values >= threshold))
 
