@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from riskloom.llm import q_lm_scoring, q_mixing, q_ngram_join, q_quality, q_secrets  # noqa: F401
+from riskloom.llm import q_lm_scoring, q_mixing, q_ngram_join, q_pieces, q_quality, q_secrets  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES  # noqa: F401
