@@ -1,5 +1,15 @@
 """All registered queries of this subpackage."""
 
-from riskloom.llm import (q_cover_tree, q_hilbert, q_lm_scoring, q_mixing, q_ngram_join, q_pieces, q_quality,  # noqa: F401
-                          q_secrets)
+from riskloom.llm import (  # noqa: F401
+    q_cover_tree,
+    q_hilbert,
+    q_licenses,
+    q_lm_scoring,
+    q_mixing,
+    q_ngram_join,
+    q_pieces,
+    q_pseudonyms,
+    q_quality,
+    q_secrets,
+)
 from riskloom.llm.registry import ORACLES, QUERIES  # noqa: F401
