@@ -4,7 +4,7 @@ Paragraphs are lines; longer ones are read in overlapping pieces of ``PIECE`` wo
 in part only. A piece is a sparse bag of hashed word n-grams of one to three words. A multinomial
 logistic regression over the licence families and an unknown class is trained on variations of the
 templates below, and for the unknown class on paragraphs of the corpus (at most ``SAMPLE``, the
-first by hash, without those close to a template) and on sentences about licences that license
+first by hash, of up to 400 characters, without those close to a template) and on sentences about licences that license
 nothing. A temperature fitted on variations and paragraphs that training didn't see calibrates its
 probabilities. A family is reported if its probability is at least ``SURE`` and the piece holds
 enough of the words and word pairs of one of the family's templates.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.textblocks import LOWER, blocks, mix, texts_of, word_hashes
 
-SAMPLE = 4000
+SAMPLE = 1500
 PIECE = 64
 BINS = 1 << 15
 SURE = 0.5
@@ -205,7 +205,7 @@ def _scores(weight, bias, of, gram, n):
 def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> tuple:
     """(weights, bias, temperature, template n-grams) fitted on the driver from bounded samples."""
     body = F.substring_index(F.regexp_replace(F.col(text), r"^[\n\r]+", ""), "\n", 1).alias("line")
-    rows = docs.select(body).where("length(line) between 1 and 2000").distinct()
+    rows = docs.select(body).where("length(line) between 1 and 400").distinct()
     lines = [r["line"] for r in rows.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
     return fit(lines)
 
