@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.stripes import STRIPE, add, first_sums, group, row, split
 from riskloom.llm.textblocks import LOWER, SPACE, blocks, texts_of
 
 ORDERS = (3, 4, 5, 6)
@@ -47,7 +48,6 @@ PRIOR = 0.1
 #: Log odds of the tables in steps of 1/12, within one signed byte.
 SCALE = 12.0
 MAP_BINS = 24
-STRIPE = 1 << 16
 
 _TABLE = 16 << ROW_BITS
 #: Masks of the last k of eight bytes.
@@ -104,37 +104,15 @@ def _count(batches):
             for c, h in enumerate(_contexts(data, offsets)):
                 for cells in _cells(h, wide, c):
                     np.add.at(tables[c], cells, np.uint32(1))
-    for c, table in enumerate(tables):
-        for k in range(_TABLE // STRIPE):
-            stripe = table[k * STRIPE:(k + 1) * STRIPE]
-            if stripe.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c * (_TABLE // STRIPE) + k], pa.int64()), pa.array([_pack(stripe)], pa.binary())],
-                    ["stripe", "counts"])
-
-
-def _pack(stripe: np.ndarray) -> bytes:
-    """Cells in use as a bit mask, then their counts, in as few bytes as the largest one needs."""
-    kind = np.uint8 if stripe.max() < 256 else np.uint16 if stripe.max() < 65536 else np.uint32
-    return (bytes([np.dtype(kind).itemsize]) + np.packbits(stripe > 0).tobytes()
-            + stripe[stripe > 0].astype(kind).tobytes())
-
-
-def _unpack(buffer) -> np.ndarray:
-    raw = np.frombuffer(buffer, np.uint8)
-    used = np.unpackbits(raw[1:1 + STRIPE // 8]).astype(bool)
-    out = np.zeros(STRIPE, np.int64)
-    out[used] = np.frombuffer(raw[1 + STRIPE // 8:].tobytes(), {1: np.uint8, 2: np.uint16, 4: np.uint32}[int(raw[0])])
-    return out
+    for k, packed in split(tables.reshape(-1)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k], pa.int64()), pa.array([group()], pa.int64()), pa.array([packed], pa.binary())],
+            ["number", "task_group", "packed"])
 
 
 def _odds(batches):
     """Log odds of the 15 bit decisions of each row, as signed bytes."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, counts in zip(batch.column("stripe").to_pylist(), batch.column("counts")):
-            sums[k] = sums.get(k, 0) + _unpack(counts.as_buffer())
-    for k, total in sums.items():
+    for k, total in add(batches, "number", "packed").items():
         leaf = total.reshape(-1, 16).astype(np.float64)
         out = np.zeros((len(leaf), 16), np.int8)
         for depth in (3, 2, 1, 0):
@@ -144,14 +122,14 @@ def _odds(batches):
             sure = np.log((one + calm) / (zero + calm))
             out[:, 1 << depth:2 << depth] = np.clip(np.rint(sure * SCALE), -127, 127)
             leaf = pairs.sum(2)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out.tobytes()], pa.binary())],
-                                         ["stripe", "odds"])
+        yield row(k, out.tobytes(), ["stripe", "odds"])
 
 
 def train(docs: DataFrame, text: str = "text", tasks: int = 24) -> Model:
     """Log odds of all contexts, a table of a fixed size, from every text of ``docs``."""
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(_count, "stripe long, counts binary")
-    found = sent.repartition(tasks, "stripe").mapInArrow(_odds, "stripe long, odds binary").toArrow()
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(_count, "number long, task_group long, packed binary")
+    sums = first_sums(sent, max(tasks, sent.rdd.getNumPartitions() // 2))
+    found = sums.repartition(tasks, "number").mapInArrow(_odds, "stripe long, odds binary").toArrow()
     odds = np.zeros(CONTEXTS * _TABLE, np.int8)
     for k, part in zip(found.column("stripe").to_pylist(), found.column("odds").to_pylist()):
         odds[k * STRIPE:(k + 1) * STRIPE] = np.frombuffer(part, np.int8)

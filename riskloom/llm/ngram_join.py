@@ -8,8 +8,9 @@ corpus come first, ties by hash. Two sets that reach the threshold share at leas
    each text the size and signature of its set; texts with equal sets are one set from here on;
 2. a second pass deals those first shingles over tasks. Sets that meet there under the length bound
    are candidates; each task keeps only a spanning forest of its candidates, never their pairs;
-3. components of the candidate graph are the groups that can hold links. The sets of their members,
-   and of no others, are sent to the group's task, which stores them in a prefix tree and traverses
+3. components of the candidate graph are the groups that can hold links. Parity maps of the sets (a
+   bit or two for each item) split small groups by a bound on how much two sets differ, which loses
+   no link. The sets of the members that remain, and of no others, are sent to the group's task, which stores them in a prefix tree and traverses
    it for all members at once, sharing the overlap of a common path and cutting subtrees whose
    remaining length can't reach the threshold;
 4. components of the true links give every document its class.
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.components import components, forest
 from riskloom.llm.prefix_tree import similar_links
-from riskloom.llm.scratch import saved
+from riskloom.llm.scratch import numbered, saved
+from riskloom.llm.stripes import STRIPE, add, first_sums, group, row, split
 from riskloom.llm.textblocks import LOWER, blocks, mix, shingles, sorted_sets, texts_of, word_hashes, word_spans
 
 SLOT_BITS = 22
-#: Slots in one row of the sketch.
-STRIPE = 1 << 16
 #: Sets of a candidate group that one task compares with each other, at most two blocks of this.
 GROUP = 4096
+#: Candidate groups of up to this many sets are sifted by parity maps first; larger ones go on whole.
+SIFTED = 64
 #: First shingles that one task gathers, about.
 TASK_SHINGLES = 1_000_000
 #: Bits of the filter that spares most sets outside any group the way; a full filter costs time only.
@@ -61,6 +63,70 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def _widths(n: np.ndarray) -> np.ndarray:
+    """Bits of a parity map: the next power of two from the size of the set, 64 at least."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _parities(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set a map with a bit flipped for every item, at a place that the item's hash names.
+
+    Items in both of two sets flip the same bits, so the maps differ in no more bits than there are
+    items in just one of the sets.
+    """
+    width = _widths(np.diff(bounds))
+    starts = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(width)), np.diff(bounds))
+    at = starts[owner] + ((values >> np.uint64(30)).astype(np.int64) & (width[owner] - 1))
+    packed = np.packbits((np.bincount(at, minlength=starts[-1]) & 1).astype(np.uint8))
+    return [packed[a // 8:b // 8].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    whole = np.frombuffer(bits, np.uint8).reshape(-1, width // 8)
+    return np.bitwise_xor.reduce(whole, axis=0)
+
+
+def _sift(threshold: int):
+    """Splits the candidate groups in the sorted rows (root, sig, rep, n, body) by their parity maps.
+
+    Two sets can only be similar if the sizes pass the length bound and the maps differ in at most as
+    many bits as the threshold leaves items to just one of the sets. Sets without such a partner leave.
+    """
+    def sift(group):
+        n = np.array([g[2] for g in group], np.int64)
+        width = int(_widths(n.min(keepdims=True))[0])
+        maps = np.stack([_folded(g[3], width) for g in group])
+        a, b = np.triu_indices(len(group), 1)
+        fits = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+        a, b = a[fits], b[fits]
+        differ = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
+        may = differ * (100 + threshold) <= (100 - threshold) * (n[a] + n[b])
+        sig = np.array([g[0] for g in group], np.int64)
+        node, root = forest(sig[a[may]], sig[b[may]])
+        of = dict(zip(node.tolist(), root.tolist()))
+        of.update({r: r for r in set(root.tolist())})
+        kept = [(g[0], g[1], g[2], of[g[0]]) for g in group if g[0] in of]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept)],
+                                          ["sig", "rep", "n", "root"]) if kept else None
+
+    def work(batches):
+        key, group = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "sig", "rep", "n", "body")]
+            for root, *rest in zip(*columns):
+                if root != key:
+                    out = sift(group) if group else None
+                    if out is not None:
+                        yield out
+                    key, group = root, []
+                group.append(rest)
+        out = sift(group) if group else None
+        if out is not None:
+            yield out
+    return work
+
+
 def _ordered(values: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The sets as ascending numbers in the global order: rarity of the slot, then the hash."""
     rank = ranks[(values & np.uint64(len(ranks) - 1)).astype(np.int64)].astype(np.uint64)
@@ -69,6 +135,7 @@ def _ordered(values: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> np.nd
 
 def _first_pass(size: int):
     def work(batches):
+        names = ["kind", "id", "tag", "n", "sig", "body"]
         sketch = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for low, high, values, bounds in _sets(texts_of(batch.column("text")), size):
@@ -79,35 +146,29 @@ def _first_pass(size: int):
                 count = high - low
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(count, np.int32)), batch.column("id")[low:high],
-                     pa.array(np.diff(bounds)), pa.array(_signatures(values, bounds)), pa.nulls(count, pa.binary())],
-                    ["kind", "id", "n", "sig", "slots"])
-        for k in range(len(sketch) // STRIPE):
-            stripe = sketch[k * STRIPE:(k + 1) * STRIPE]
-            if stripe.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()),
-                     pa.nulls(1, pa.int64()), pa.array([stripe.tobytes()], pa.binary())],
-                    ["kind", "id", "n", "sig", "slots"])
+                     batch.column("tag")[low:high], pa.array(np.diff(bounds)), pa.array(_signatures(values, bounds)),
+                     pa.array(_parities(values, bounds), pa.binary())], names)
+        for k, packed in split(sketch):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([group()], pa.int64()),
+                 pa.array([k], pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], names)
     return work
 
 
 def _add_stripes(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, slots in zip(batch.column("n").to_pylist(), batch.column("slots")):
-            sums[k] = sums.get(k, 0) + np.frombuffer(slots.as_buffer(), np.uint32).astype(np.int64)
-    for k, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-                                         ["n", "slots"])
+    for k, total in add(batches, "number", "packed").items():
+        yield row(k, total.tobytes(), ["n", "body"])
 
 
-def _ranks(sketch_rows: DataFrame) -> np.ndarray:
+def _ranks(sketch_rows: DataFrame, tasks: int = 16) -> np.ndarray:
     """A byte for each slot, ascending with its count: quantiles of the shingles of the corpus."""
-    found = (sketch_rows.select("n", "slots").repartition(16, "n").mapInArrow(_add_stripes, "n long, slots binary")
+    sent = sketch_rows.select(F.col("n").alias("number"), F.col("tag").alias("task_group"), F.col("body").alias("packed"))
+    sums = first_sums(sent, max(tasks, sent.rdd.getNumPartitions() // 2))
+    found = (sums.repartition(tasks, "number").mapInArrow(_add_stripes, "n long, body binary")
              .toArrow().to_pylist())
     counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for row in found:
-        counts[row["n"] * STRIPE:(row["n"] + 1) * STRIPE] = np.frombuffer(row["slots"], np.int64)
+    for part in found:
+        counts[part["n"] * STRIPE:(part["n"] + 1) * STRIPE] = np.frombuffer(part["body"], np.int64)
     order = np.argsort(counts, kind="stable")
     mass = np.cumsum(counts[order]) / max(1, counts.sum())
     levels = np.maximum.accumulate((mass * 255).astype(np.uint8))
@@ -255,21 +316,35 @@ def candidate_groups(docs: DataFrame, sizes: DataFrame, ranks, size: int, thresh
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: str = "text",
-                    ident: str = "doc_id") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id).
+                    ident: str = "doc_id", tag: str | None = None) -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id, tag, class_no).
+
+    ``tag`` names a long column to hand through, to find the rows again. ``class_no`` tells classes
+    apart even where ids repeat; it is null for rows that can't link.
 
     Documents link when 100 times the intersection of their sets is at least ``threshold`` times the
     union; a component's id is the least document id in it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    first = saved(docs.mapInArrow(_first_pass(size), "kind int, id long, n long, sig long, slots binary"),
+    tagged = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"),
+                         (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
+    docs = tagged.select("id", "text")
+    first = saved(tagged.mapInArrow(_first_pass(size), "kind int, id long, tag long, n long, sig long, body binary"),
                   "shingles", "kind")
     ranks = spark.sparkContext.broadcast(_ranks(first.where("kind = 1")))
-    sizes = first.where("kind = 0").select("id", "n", "sig")
+    sizes = first.where("kind = 0").select("id", "n", "sig", "tag")
     groups = saved(candidate_groups(docs, sizes, ranks, size, threshold), "groups")
     reps = sizes.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    members = saved(groups.join(reps, F.col("node") == F.col("sig")).select("sig", "rep", "n", "root"), "members")
+    count = groups.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("sets"))
+    members = saved(groups.join(reps, F.col("node") == F.col("sig")).join(count, F.col("root") == F.col("group"))
+                    .select("sig", "rep", "n", "root", "sets"), "members")
+    maps = first.where("kind = 0 and id is not null and n > 0").select(F.col("id").alias("its_id"), F.col("sig").alias("its_sig"), "body")
+    small = (members.where(F.col("sets") <= SIFTED)
+             .join(maps, (F.col("sig") == F.col("its_sig")) & (F.col("rep") == F.col("its_id")))
+             .dropDuplicates(["sig"]).select("root", "sig", "rep", "n", "body"))
+    sifted = (small.repartition("root").sortWithinPartitions("root", "sig")
+              .mapInArrow(_sift(threshold), "sig long, rep long, n long, root long"))
+    members = saved(members.where(F.col("sets") > SIFTED).select("sig", "rep", "n", "root").unionByName(sifted), "members")
     crowd = (members.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("sets"))
              .withColumn("blocks", F.ceil(F.col("sets") / GROUP).cast("int")))
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
@@ -288,10 +363,23 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     classes = saved(classes, "classes")
     named = classes.join(reps, F.col("node") == F.col("sig"))
     least = named.groupBy(F.col("root").alias("its_root")).agg(F.min("rep").alias("least"))
-    of_sig = (classes.join(least, F.col("root") == F.col("its_root")).select("node", "least"))
+    of_sig = (classes.join(least, F.col("root") == F.col("its_root")).select("node", "root", "least"))
     rep_of = reps.select(F.col("sig").alias("its_sig"), "rep")
     return (sizes.withColumn("sig", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sig")))
             .join(rep_of, F.col("sig") == F.col("its_sig"), "left")
             .join(of_sig, F.col("sig") == F.col("node"), "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.coalesce("least", "rep", "id").alias("component_id")))
+                    F.coalesce("least", "rep", "id").alias("component_id"), "tag",
+                    F.coalesce("root", "sig").alias("class_no")))
+
+
+def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with one row of each class, that of the least id; rows that can't link all stay."""
+    rows, row = numbered(docs, "documents")
+    classes = saved(similar_classes(rows, ident=ident, text=text, tag=row, **more), "kept")
+    kept = (classes.where("class_no is not null").groupBy("class_no")
+            .agg(F.min_by("tag", F.struct("doc_id", "tag")).alias("its_row")).select("its_row")
+            .union(classes.where("class_no is null").select("tag")))
+    body = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body"), F.col(row).alias("own_row"))
+    return (body.join(kept.hint("shuffle_hash"), F.col("own_row") == F.col("its_row"), "left_semi")
+            .select(*[F.col("body")[c].alias(c) for c in docs.columns]))

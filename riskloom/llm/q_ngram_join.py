@@ -8,4 +8,4 @@ from riskloom.llm.registry import query, table
 
 @query()
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents"))
+    return similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -1,6 +1,7 @@
 """Tables written to the shared scratch folder, so that a lost executor costs no recomputation."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.session import scratch_path
 
@@ -12,6 +13,12 @@ def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    schema = df.schema if partition_by is None else None
-    reader = df.sparkSession.read
-    return (reader.schema(schema) if schema is not None else reader).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once so that it never changes; and its column."""
+    column = "row"
+    while column in docs.columns:
+        column += "_"
+    return saved(docs.withColumn(column, F.monotonically_increasing_id()), name), column
