@@ -17,7 +17,7 @@ their own; an empty table gives an empty result.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.scratch import saved
+from riskloom.llm.scratch import numbered, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST_WEIGHT = 1e-6
@@ -67,12 +67,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float,
 
 def mix(docs: DataFrame, size: Column, quality: Column, seed: str = "mix",
         weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        ident: str = "doc_id", source: str = "source") -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken), one for each row of ``docs``."""
+        ident: str = "doc_id", source: str = "source", tag: str | None = None) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken, tag), one for each row of ``docs``.
+
+    ``tag`` names a column to hand through, to find the rows again.
+    """
     key = -F.log(uniform(seed, F.col(ident))) / F.greatest(
         F.coalesce(quality.cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     keyed = saved(docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"),
-                              size.cast("long").alias("size"), key.alias("key"))
+                              size.cast("long").alias("size"), key.alias("key"),
+                              (F.col(tag) if tag else F.lit(None).cast("long")).alias("tag"))
                   .withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE).cast("int")), "mix")
     buckets = saved(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words")),
                     "mix_buckets")
@@ -104,4 +108,21 @@ def mix(docs: DataFrame, size: Column, quality: Column, seed: str = "mix",
         "extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
     return clear.unionByName(last).select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
+        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "tag")
+
+
+def mixed(docs: DataFrame, size: Column, quality: Column, ident: str = "doc_id", **more) -> DataFrame:
+    """``docs`` as often as the mix takes them, all columns as they were.
+
+    Copies are whole: the document at which a budget ends counts once more if at least half of it is
+    wanted. A document without words is never taken.
+    """
+    rows, row = numbered(docs, "mixed")
+    plan = mix(rows.withColumns({"mix_size": size, "mix_quality": quality}), F.col("mix_size"), F.col("mix_quality"),
+               ident=ident, tag=row, **more)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    wanted = plan.select(F.col("tag").alias("its_row"), copies.alias("its_copies")).where("its_copies > 0")
+    body = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body"), F.col(row).alias("own_row"))
+    return (body.join(wanted.hint("shuffle_hash"), F.col("own_row") == F.col("its_row"))
+            .select("body", F.explode(F.array_repeat(F.lit(0), F.col("its_copies"))))
+            .select(*[F.col("body")[c].alias(c) for c in docs.columns]))

@@ -10,15 +10,15 @@ from riskloom.llm.registry import query, table
 GOOD, BAD, NONE = 2.0, 0.5, 1.0
 
 
-def with_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    one = (labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled_id"))
-           .agg(F.max("quality").alias("label_quality")))
-    return docs.join(one, F.col("doc_id") == F.col("labelled_id"), "left")
-
-
-def label_weight() -> Column:
-    return (F.when(F.col("label_quality") == 1, GOOD).when(F.col("label_quality") == 0, BAD)
-            .otherwise(NONE))
+def with_weight(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` with a further column for the label of their id, and the weight by it."""
+    name = "label_quality"
+    while name in docs.columns:
+        name += "_"
+    one = (labels.where("doc_id is not null").groupBy(F.col("doc_id").alias(name + "id"))
+           .agg(F.max("quality").alias(name)))
+    rows = docs.join(one, F.col("doc_id") == F.col(name + "id"), "left").select(*docs.columns, name)
+    return rows, F.when(F.col(name) == 1, GOOD).when(F.col(name) == 0, BAD).otherwise(NONE)
 
 
 SQL = r"""
@@ -66,6 +66,6 @@ from ranked"""
 @query(SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    rows = with_label(docs, table(spark, sf_dir, "labels"))
-    return (mix(rows, F.col("words"), label_weight())
+    rows, weight = with_weight(docs, table(spark, sf_dir, "labels"))
+    return (mix(rows, F.col("words"), weight)
             .select("doc_id", "size", "source_size", "target", "taken"))
