@@ -36,6 +36,7 @@ BITS = 7
 SAMPLE = 4096
 LEAST_BLOCK = 64
 SEED = 5
+BROADCAST_RUNS = 100_000
 
 
 def block_rows(total: int) -> int:
@@ -125,10 +126,11 @@ def _numbered(keys: DataFrame, tasks: int) -> DataFrame:
     task = F.shiftright("at", 33).alias("task")
     runs = ordered.groupBy("curve", task).agg(F.min("at").alias("first"), F.count("*").alias("rows"))
     ahead = Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each curve and task: its size depends on the partitioning, not on the data.
-    runs = runs.select(F.col("curve").alias("c"), F.col("task").alias("t"), "first",
-                       F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
-    return (ordered.join(F.broadcast(runs), (F.col("curve") == F.col("c")) & (F.shiftright("at", 33) == F.col("t")))
+    runs = saved(runs.select(F.col("curve").alias("c"), F.col("task").alias("t"), "first",
+                       F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead")), "runs")
+    # A row for each curve and task; so few that they can be broadcast, unless there are very many tasks.
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs
+    return (ordered.join(runs, (F.col("curve") == F.col("c")) & (F.shiftright("at", 33) == F.col("t")))
             .select("curve", "class", (F.col("ahead") + F.col("at") - F.col("first")).alias("place")))
 
 

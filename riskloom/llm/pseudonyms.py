@@ -1,7 +1,7 @@
 """Personal data replaced by format-preserving pseudonyms.
 
-Candidates are found by patterns and validated: card numbers by the Luhn digit, IBANs by their
-remainder, social security numbers by their forbidden ranges, dates by the calendar, addresses of
+Candidates are found by patterns and validated: card numbers by the first and the Luhn digit, IBANs
+by their remainder, social security numbers by their forbidden ranges, dates by the calendar, addresses of
 machines by their octets. A value that fails stays as it is. A valid one is permuted within its
 format by a keyed Feistel network: the digits of a card become other digits with a right check
 digit, a date another date of the same years, and separators stay. The permutation depends on the
@@ -120,7 +120,7 @@ def _as_date(value: str) -> datetime.date | None:
 def valid(kind: str, value: str) -> bool:
     digits = "".join(c for c in value if c.isdigit())
     if kind == "card":
-        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+        return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn_digit(digits[:-1]) == digits[-1]
     if kind == "iban":
         plain = value.replace(" ", "")
         return 15 <= len(plain) <= 34 and 98 - _iban_rest(plain[:2], plain[4:]) == int(plain[2:4])
@@ -159,8 +159,11 @@ def pseudonym(cipher: Feistel, kind: str, value: str, back: bool = False) -> str
     """The pseudonym of a valid value, or with ``back`` the value of a pseudonym."""
     digits = "".join(c for c in value if c.isdigit())
     if kind == "card":
-        body = _permuted_digits(cipher, digits[:-1], "card", back)
-        return _fill(value, body + luhn_digit(body))
+        body = digits[:-1]
+        while True:  # walk on until it begins like a card
+            body = _permuted_digits(cipher, body, "card", back)
+            if body[0] in "23456":
+                return _fill(value, body + luhn_digit(body))
     if kind == "iban":
         plain = value.replace(" ", "")
         body = _permuted_text(cipher, plain[4:], "iban", back)
