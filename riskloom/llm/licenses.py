@@ -221,7 +221,7 @@ def fit(lines: list[str]) -> tuple:
     needed = np.bincount(owner[short], minlength=len(templates))
     family_of = np.array([f for f, _ in templates])
     if lines:
-        share = _coverage(pairs, needed, *_bags(lines), len(lines)).max(1)
+        share = _coverage(pairs, needed, *_bags(lines)[:2], len(lines)).max(1)
         lines = [x for x, s in zip(lines, share) if s < 0.5]
     fillers = sorted({w for x in lines[:500] for w in x.split()}) or ["text"]
     texts, label = [], []
@@ -243,7 +243,7 @@ def fit(lines: list[str]) -> tuple:
     return weight, bias, float(heat), pairs, needed, family_of
 
 
-def _coverage(pairs, needed, of, gram, length, n) -> np.ndarray:
+def _coverage(pairs, needed, of, gram, n) -> np.ndarray:
     """Share of each template's words and word pairs that each piece holds."""
     grams, owner = pairs
     low, high = np.searchsorted(grams, gram, "left"), np.searchsorted(grams, gram, "right")
@@ -270,7 +270,7 @@ def scan(docs: DataFrame, model: tuple, text: str = "text", ident: str = "doc_id
         for batch in batches:
             for low, high, data, offsets in blocks(texts_of(batch.column("text")), 1 << 20):
                 n = high - low
-                of_text, of, gram, length, (line, pieces) = _grams(data, offsets)
+                of_text, of, gram, _, (line, pieces) = _grams(data, offsets)
                 chance = _softmax(_scores(weight, bias, of, gram, len(of_text)) / heat)
                 best = chance.argmax(1) if len(chance) else np.zeros(0, np.int64)
                 some = np.flatnonzero((best < len(FAMILIES) - 1) & (chance.max(1, initial=0) >= SURE))
@@ -280,7 +280,7 @@ def scan(docs: DataFrame, model: tuple, text: str = "text", ident: str = "doc_id
                     among = np.full(len(of_text), -1)
                     among[some] = np.arange(len(some))
                     mine = among[of] >= 0
-                    share = _coverage(pairs, needed, among[of[mine]], gram[mine], length[mine], len(some))
+                    share = _coverage(pairs, needed, among[of[mine]], gram[mine], len(some))
                     for k, p in enumerate(some):
                         f = best[p]
                         if (share[k] * (family_of == f)).max() >= CONFIRMED:
