@@ -102,14 +102,15 @@ class Neighbours:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Neighbours:
-    rarity = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))).astype(np.float32)
-    x = counts * rarity
-    random = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, len(x))))
-    span = np.linalg.qr(x @ random)[0]
+    """Weights and axes of the rows of ``counts``, which is weighted in place to save the driver's memory."""
+    rarity = (1 + np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0)))).astype(np.float32)
+    counts *= rarity
+    random = np.random.default_rng(7).standard_normal((counts.shape[1], min(rank + 16, len(counts))), dtype=np.float32)
+    span = np.linalg.qr(counts @ random)[0]
     for _ in range(3):
-        span = np.linalg.qr(x @ (x.T @ span))[0]
-    axes = np.linalg.svd(span.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-    return Neighbours(rarity, axes, _unit(x @ axes).astype(np.float32), labels.astype(np.float64))
+        span = np.linalg.qr(counts @ (counts.T @ span))[0]
+    axes = np.linalg.svd(span.T @ counts, full_matrices=False)[2][:rank].T.astype(np.float32)
+    return Neighbours(rarity, axes, _unit(counts @ axes).astype(np.float32), labels.astype(np.float64))
 
 
 def _sent(spark: SparkSession, model: Neighbours | None):
@@ -146,8 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
              .mapInArrow(count, "id long, label int, counts binary").orderBy("id", "counts").limit(sample).toArrow())
     if not found.num_rows:
         return None
-    counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.float16)
-    return fit(counts.reshape(-1, WIDTH).astype(np.float32), found.column("label").to_numpy())
+    labels, counts = found.column("label").to_numpy(), np.empty((found.num_rows, WIDTH), np.float32)
+    for i, row in enumerate(found.column("counts")):
+        counts[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del found, row
+    return fit(counts, labels)
 
 
 def score(docs: DataFrame, model: Neighbours | None, text: str = "text", ident: str = "doc_id") -> DataFrame:
