@@ -10,9 +10,9 @@ corpus come first, ties by hash. Two sets that reach the threshold share at leas
    are candidates; each task keeps only a spanning forest of its candidates, never their pairs;
 3. components of the candidate graph are the groups that can hold links. Parity maps of the sets (a
    bit or two for each item) split small groups by a bound on how much two sets differ, which loses
-   no link. The sets of the members that remain, and of no others, are sent to the group's task, which stores them in a prefix tree and traverses
-   it for all members at once, sharing the overlap of a common path and cutting subtrees whose
-   remaining length can't reach the threshold;
+   no link. The sets of the members that remain, and of no others, are sent to the group's task,
+   which stores them in a prefix tree and traverses it for all members at once, sharing the overlap
+   of a common path and cutting subtrees whose remaining length can't reach the threshold;
 4. components of the true links give every document its class.
 
 A group of more than ``GROUP`` sets is split into blocks, and all pairs of blocks are tasks of their
@@ -38,6 +38,8 @@ from riskloom.llm.stripes import STRIPE, add, first_sums, group, row, split
 from riskloom.llm.textblocks import LOWER, blocks, mix, shingles, sorted_sets, texts_of, word_hashes, word_spans
 
 SLOT_BITS = 22
+#: Steps of the code of a count for each doubling.
+CODES = 1500
 #: Sets of a candidate group that one task compares with each other, at most two blocks of this.
 GROUP = 4096
 #: Candidate groups of up to this many sets are sifted by parity maps first; larger ones go on whole.
@@ -156,26 +158,31 @@ def _first_pass(size: int):
 
 
 def _add_stripes(batches):
+    """Summed counts as two-byte codes, ascending with the count: all that the order needs."""
     for k, total in add(batches, "number", "packed").items():
-        yield row(k, total.tobytes(), ["n", "body"])
+        codes = np.minimum(np.log2(total + 1.0) * CODES, 65535).astype(np.uint16)
+        yield row(k, codes.tobytes(), ["n", "body"])
 
 
 def _ranks(sketch_rows: DataFrame, tasks: int = 16) -> np.ndarray:
-    """A byte for each slot, ascending with its count: quantiles of the shingles of the corpus."""
+    """A byte for each slot, ascending with its count: quantiles of the shingles of the corpus.
+
+    The driver holds three bytes for each slot, whatever the corpus.
+    """
     sent = sketch_rows.select(F.col("n").alias("number"), F.col("tag").alias("task_group"), F.col("body").alias("packed"))
     sums = first_sums(sent, max(tasks, sent.rdd.getNumPartitions() // 2))
-    found = (sums.repartition(tasks, "number").mapInArrow(_add_stripes, "n long, body binary")
-             .toArrow().to_pylist())
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for part in found:
-        counts[part["n"] * STRIPE:(part["n"] + 1) * STRIPE] = np.frombuffer(part["body"], np.int64)
-    order = np.argsort(counts, kind="stable")
-    mass = np.cumsum(counts[order]) / max(1, counts.sum())
-    levels = np.maximum.accumulate((mass * 255).astype(np.uint8))
-    steps = counts[order]
-    starts = np.searchsorted(steps, steps, "left")  # equal counts get the same level
-    ranks = np.empty(len(counts), np.uint8)
-    ranks[order] = levels[starts]
+    found = sums.repartition(tasks, "number").mapInArrow(_add_stripes, "n long, body binary").toArrow()
+    codes = {k: np.frombuffer(body.as_buffer(), np.uint16)
+             for k, body in zip(found.column("n").to_pylist(), found.column("body"))}
+    slots = np.zeros(65536, np.int64)
+    for part in codes.values():
+        slots += np.bincount(part, minlength=65536)
+    shingles_of = slots * (2 ** (np.arange(65536) / CODES) - 1)
+    below = np.concatenate([[0], np.cumsum(shingles_of)[:-1]])
+    level = (below / max(1, shingles_of.sum()) * 255).astype(np.uint8)
+    ranks = np.zeros(1 << SLOT_BITS, np.uint8)
+    for k, part in codes.items():
+        ranks[k * STRIPE:(k + 1) * STRIPE] = level[part]
     return ranks
 
 
@@ -247,7 +254,7 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id that occurs; ids whose bit is unset surely don't."""
+    """Packed, a bit for each hash of an id that occurs; ids whose bit is unset surely don't."""
     def mark(batches):
         seen = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
@@ -257,7 +264,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
     seen = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for bits in ids.coalesce(16).mapInArrow(mark, "bits binary").toArrow().column(0).to_pylist():
         seen |= np.frombuffer(bits, np.uint8)
-    return np.unpackbits(seen).astype(bool)
+    return seen
 
 
 def _send(ranks, wanted, size: int):
@@ -266,7 +273,8 @@ def _send(ranks, wanted, size: int):
         for batch in batches:
             null = batch.column("id").is_null().to_numpy(zero_copy_only=False)
             ids = batch.column("id").fill_null(0).to_numpy()
-            takes = wanted.value[_bits(ids)] & ~null
+            at = _bits(ids)
+            takes = (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & ~null
             if not takes.any():
                 continue
             few = batch.filter(pa.array(takes))
