@@ -2,7 +2,9 @@
 
 Candidates are found by patterns and validated: card numbers by the first and the Luhn digit, IBANs
 by their remainder, social security numbers by their forbidden ranges, dates by the calendar, addresses of
-machines by their octets. A value that fails stays as it is. A valid one is permuted within its
+machines by their octets. Where the longest reading fails, e.g. as a date, a check number or a currency
+follows, shorter ends at separators are tried, then later starts. A value that fails in all of them
+stays as it is. A valid one is permuted within its
 format by a keyed Feistel network: the digits of a card become other digits with a right check
 digit, a date another date of the same years, and separators stay. The permutation depends on the
 key and the kind only, so equal values stay equal in all documents and different ones different;
@@ -34,13 +36,24 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
-    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
+    "card": re.compile(r"(?<![\w.-])\d+(?:[ -]\d+)*"),  # a run of groups, any length; ``_cards`` reads it
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
                         r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"),
-    "date": re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"),
+    "date": re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?=[Tt]\d{2}|(?![\w/-]|\.\d))"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
 }
+#: What may not follow a card.
+_CARD_TAIL = re.compile(r"[\w-]|\.\d")
+_GROUP = re.compile(r"\d+")
+#: Sizes of the groups in which cards are usually printed; an unbroken number is usual as well.
+CARD_GROUPS = {(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)}
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {country: int(n) for n, countries in (line.split(":") for line in (
+    "15:NO", "16:BE", "18:DK FO FI GL NL SD FK", "19:MK SI", "20:AT BA EE KZ LT LU XK MN", "21:CH HR LI LV",
+    "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+    "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV",
+    "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU")) for country in countries.split()}
 
 
 class Feistel:
@@ -199,15 +212,78 @@ def pseudonym(cipher: Feistel, kind: str, value: str, back: bool = False) -> str
     return f"{_permuted_text(cipher, local, 'email', back)}@{domain}"
 
 
+def _card_end(text: str, groups: list[tuple[int, int]], used: list[bool], i: int, usual: bool) -> int | None:
+    """The last group of the longest valid card that begins with group ``i`` of a run."""
+    start = groups[i][0]
+    if text[start] not in "23456" or (i and text[start - 1] != " "):
+        return None
+    ends, n = [], 0
+    for j in range(i, len(groups)):
+        n += groups[j][1] - groups[j][0]
+        if n > 19 or used[j]:
+            break
+        if n >= 13 and (j + 1 < len(groups) or not _CARD_TAIL.match(text, groups[j][1])):
+            ends.append(j)
+    for j in reversed(ends):
+        if usual and j > i and tuple(b - a for a, b in groups[i:j + 1]) not in CARD_GROUPS:
+            continue
+        if valid("card", text[start:groups[j][1]]):
+            return j
+    return None
+
+
+def _cards(text: str, free):
+    """Spans of the valid cards within runs of free digit groups: first in usual groups, then in any."""
+    for run in PATTERNS["card"].finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        used = [not free(a, b) for a, b in groups]
+        for usual in (True, False):
+            i = 0
+            while i < len(groups):
+                j = None if used[i] else _card_end(text, groups, used, i, usual)
+                if j is None:
+                    i += 1
+                    continue
+                used[i:j + 1] = [True] * (j + 1 - i)
+                yield groups[i][0], groups[j][1]
+                i = j + 1
+
+
+def _ends(kind: str, m: re.Match) -> list[int]:
+    """Where a value that begins with the match may end: the country's length, then the longest first."""
+    if kind not in ("iban", "phone"):
+        return [m.end()]
+    inner = [m.start() + k for k, c in enumerate(m[0]) if c in (" " if kind == "iban" else " .-")]
+    ends = [m.end(), *(e for e in reversed(inner) if m.re.fullmatch(m.string, m.start(), e))]
+    if kind == "iban":
+        wanted = IBAN_LENGTHS.get(m[0][:2])
+        ends.sort(key=lambda e: len(m.string[m.start():e].replace(" ", "")) != wanted)
+    return ends
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of valid values, in order and without overlap."""
     taken: list[tuple[int, int, str]] = []
+
+    def free(start: int, end: int) -> bool:
+        return all(end <= a or b <= start for a, b, _ in taken)
+
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in PATTERNS[kind].finditer(text):
-            if valid(kind, m[0]) and all(m.end() <= a or b <= m.start() for a, b, _ in taken):
-                taken.append((m.start(), m.end(), kind))
+        if kind == "card":
+            taken += [(a, b, kind) for a, b in _cards(text, free)]
+            continue
+        at = 0
+        while m := PATTERNS[kind].search(text, at):
+            start, at = m.start(), m.start() + 1
+            for end in _ends(kind, m):
+                if valid(kind, text[start:end]) and free(start, end):
+                    taken.append((start, end, kind))
+                    at = end
+                    break
     return sorted(taken)
 
 

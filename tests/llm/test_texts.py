@@ -215,6 +215,31 @@ def test_what_fails_validation_stays(text):
     assert pseudonyms.find(text) == []
 
 
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    (f"{CARD} 12/27", "card", CARD), (f"{CARD} 123", "card", CARD), (f"12/27 {CARD} 123", "card", CARD),
+    ("4111-1111-1111-1111 2 times", "card", "4111-1111-1111-1111"), ("4111111111111111 123 9", "card", "4111111111111111"),
+    ("3782 822463 10005 12/27", "card", "3782 822463 10005"), ("4111 111111 111111 12/27", "card", "4111 111111 111111"),
+    ("ES91 2100 0418 4502 0005 1332 EUR", "iban", "ES91 2100 0418 4502 0005 1332"),
+    ("AT61 1904 3002 3457 3201 BIC", "iban", "AT61 1904 3002 3457 3201"),
+    ("AB12 3456 7890 AT611904300234573201 PAID IN FULL", "iban", "AT611904300234573201"),
+    ("+44 20 7946 0958 2024 1234", "phone", "+44 20 7946 0958"),
+    ("2024-01-02T10:00", "date", "2024-01-02"), ("2024-01-02t10:00:00Z", "date", "2024-01-02")])
+def test_values_before_other_digits_and_capitals(text, kind, value):
+    assert pseudonyms.find(text) == [(text.index(value), text.index(value) + len(value), kind)]
+
+
+def test_a_card_behind_an_iban():
+    text = f"ES91 2100 0418 4502 0005 1332 {CARD}"
+    assert pseudonyms.find(text) == [(0, 29, "iban"), (30, 49, "card")]
+
+
+def test_two_cards_in_one_run():
+    assert [k for _, _, k in pseudonyms.find(f"{CARD} 5500 0000 0000 0004 12 {CARD}")] == ["card"] * 3
+
+
 def test_equal_values_stay_linked(spark, odd):
     extra = spark.createDataFrame([(20, "pay 4111 1111 1111 1111 now", "en", "s", 1), (21, "4111111111111111", "en", "s", 1)], odd.schema)
     rows = pseudonyms.pseudonymise(odd.union(extra).withColumn("kinds", F.lit(1)), b"key").collect()
