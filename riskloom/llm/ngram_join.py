@@ -5,9 +5,13 @@ corpus come first, ties by hash. Two sets that reach the threshold share at leas
 ``n - ceil(t n) + 1`` shingles of each, so
 
 1. a pass over the texts fills the sketch (a fixed number of slots, whatever the input) and gives
-   each text the size and signature of its set; texts with equal sets are one set from here on;
-2. a second pass deals those first shingles over tasks. Sets that meet there under the length bound
-   are candidates; each task keeps only a spanning forest of its candidates, never their pairs;
+   each text the size and signature of its set;
+2. a second pass deals those first shingles over tasks. Sets that share one under the length bound
+   are candidates. The task that reads the texts links those among its own sets, copies and near
+   copies alike, and deals of each shingle only a few sets, of sizes that any further candidate passes
+   the bound with: at most two for each growth by 1 / threshold. So what a hot shingle brings to one
+   task grows with the number of reading tasks and not with its rows. Tasks keep spanning forests of
+   candidates, never their pairs; texts with equal sets are one set from here on;
 3. components of the candidate graph are the groups that can hold links. Parity maps of the sets (a
    bit or two for each item) split small groups by a bound on how much two sets differ, which loses
    no link. The sets of the members that remain, and of no others, are sent to the group's task,
@@ -48,6 +52,8 @@ SIFTED = 64
 TASK_SHINGLES = 1_000_000
 #: Bits of the filter that spares most sets outside any group the way; a full filter costs time only.
 FILTER_BITS = 24
+#: First shingles that are held at once, before those that stand for others are left.
+HELD = 2_000_000
 
 
 def _sets(texts: pa.Array, size: int):
@@ -186,22 +192,61 @@ def _ranks(sketch_rows: DataFrame, tasks: int = 16) -> np.ndarray:
     return ranks
 
 
+def _joined(token: np.ndarray, sig: np.ndarray, size: np.ndarray, threshold: int):
+    """(token, sig, size) that stand for all given, and a spanning forest (a, b) of the candidates.
+
+    Within a shingle the sets are put in order of size, and neighbours that pass the length bound are
+    joined: any two sets that pass it are then joined by those between them. Of joined neighbours one
+    is left out while those beside it pass the bound with each other, as whatever passes it with the
+    one left out and lies between these passes it with them too.
+    """
+    order = np.argsort(token, kind="stable")
+    token, sig, size = token[order], sig[order], size[order].astype(np.int64)
+    shared = np.zeros(len(token), bool)
+    shared[1:] |= token[1:] == token[:-1]
+    shared[:-1] |= token[1:] == token[:-1]
+    alone = [x[~shared] for x in (token, sig, size)]
+    token, sig, size = token[shared], sig[shared], size[shared]
+    order = np.lexsort((sig, size, token))
+    token, sig, size = token[order], sig[order], size[order]
+    linked = (token[1:] == token[:-1]) & (sig[1:] != sig[:-1]) & (100 * size[:-1] >= threshold * size[1:])
+    links = forest(sig[1:][linked], sig[:-1][linked])
+    stays = np.ones(len(token), bool)
+    stays[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
+    while not stays.all():
+        token, sig, size = token[stays], sig[stays], size[stays]
+        at = np.arange(len(token))
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = token[1:] != token[:-1]
+        odd = ((at - np.maximum.accumulate(np.where(fresh, at, 0))) & 1).astype(bool)
+        stays = np.ones(len(token), bool)
+        stays[1:-1] = ~(odd[1:-1] & (token[2:] == token[:-2]) & (100 * size[:-2] >= threshold * size[2:]))
+    return (*(np.concatenate(x) for x in zip(alone, (token, sig, size))), *links)
+
+
 def _deal(ranks, size: int, threshold: int, parts: int):
-    """Packs the first shingles of each set by part: shingle, signature and set size."""
-    def work(batches):
-        held, count = [], 0
+    """Packs the first shingles of each set by part: shingle, signature and set size.
 
-        def out():
-            token, sig, length = (np.concatenate(x) for x in zip(*held))
-            part = (mix(token) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            token, sig, length = token[order], sig[order], length[order].astype(np.int32)
-            full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full), *[pa.array([x[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary())
-                                   for x in (token, sig, length)]], ["part", "token", "sig", "size"])
+    Only those that stand for all sets of the task are sent. Rows without sizes are links found here,
+    the ends in place of shingle and signature.
+    """
+    def packed(first, second, third):
+        part = (mix(first.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        columns = [x[order] for x in (first, second)] + [third[order] if len(third) else third]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full), *[pa.array([x[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary())
+                               for x in columns]], ["part", "token", "sig", "size"])
+
+    def out(held):
+        token, sig, length, a, b = _joined(*(np.concatenate(x) for x in zip(*held)), threshold)
+        yield packed(token, sig, length.astype(np.int32))
+        yield packed(a, b, np.zeros(0, np.int32))
 
+    def work(batches):
+        held, count = [], 0
         for batch in batches:
             ids = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
             for low, high, values, bounds in _sets(texts_of(batch.column("text")), size):
@@ -213,39 +258,37 @@ def _deal(ranks, size: int, threshold: int, parts: int):
                 at = np.arange(len(doc)) - np.repeat(np.cumsum(first) - first, first) + bounds[doc]
                 held.append((values[at], sig[doc], n[doc]))
                 count += len(at)
-                if count > 2_000_000:
-                    yield out()
+                if count > HELD:
+                    yield from out(held)
                     held, count = [], 0
         if count:
-            yield out()
+            yield from out(held)
     return work
 
 
 def _meet(threshold: int):
-    """Candidates among the sets of a task that share a first shingle, as a spanning forest.
+    """Candidates among the sets of a task that share a first shingle, as spanning forests."""
+    def links(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    Within a shingle the sets are put in order of size, and neighbours that pass the length bound are
-    joined: any two sets that pass it are then joined by those between them.
-    """
     def work(batches):
-        token, sig, size = [], [], []
+        held, count, limit = [], 0, 2 * HELD
         for batch in batches:
-            for name, to, kind in (("token", token, np.uint64), ("sig", sig, np.int64), ("size", size, np.int32)):
-                to += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
-        if not token:
-            return
-        token, sig, size = np.concatenate(token), np.concatenate(sig), np.concatenate(size).astype(np.int64)
-        order = np.argsort(token, kind="stable")
-        token, sig, size = token[order], sig[order], size[order]
-        shared = np.zeros(len(token), bool)
-        shared[1:] |= token[1:] == token[:-1]
-        shared[:-1] |= token[1:] == token[:-1]
-        token, sig, size = token[shared], sig[shared], size[shared]
-        order = np.lexsort((sig, size, token))
-        token, sig, size = token[order], sig[order], size[order]
-        linked = (token[1:] == token[:-1]) & (sig[1:] != sig[:-1]) & (100 * size[:-1] >= threshold * size[1:])
-        a, b = forest(sig[1:][linked], sig[:-1][linked])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for token, sig, size in zip(*(batch.column(c) for c in ("token", "sig", "size"))):
+                size = np.frombuffer(size.as_buffer(), np.int32)
+                sig = np.frombuffer(sig.as_buffer(), np.int64)
+                if not len(size):
+                    yield links(np.frombuffer(token.as_buffer(), np.int64), sig)
+                    continue
+                held.append((np.frombuffer(token.as_buffer(), np.uint64), sig, size))
+                count += len(size)
+            if count > limit:
+                *left, a, b = _joined(*(np.concatenate(x) for x in zip(*held)), threshold)
+                yield links(a, b)
+                held, count = [tuple(left)], len(left[0])
+                limit = 2 * max(HELD, count)
+        if held:
+            yield links(*_joined(*(np.concatenate(x) for x in zip(*held)), threshold)[3:])
     return work
 
 

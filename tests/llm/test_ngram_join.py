@@ -1,12 +1,15 @@
 import collections
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import riskloom.llm.ngram_join as module
 from riskloom.llm.ngram_join import keep_one, similar_classes
 from riskloom.llm.prefix_tree import similar_links
 
@@ -74,6 +77,44 @@ def test_groups_larger_than_a_block_and_near_the_threshold(documents, monkeypatc
     assert as_rows(similar_classes(documents(rows))) == brute([r[:2] for r in rows])
 
 
+def test_a_hot_shingle_deals_few_sets_of_a_task():
+    """Copies and near copies that share their first shingles leave the reading task as a few sets."""
+    texts = [" ".join(f"w{k}" for k in range(60 + i % 12)) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "text": texts})
+    rows = [r for out in module._deal(SimpleNamespace(value=np.zeros(16, np.uint8)), 5, 80, 4)(iter([batch]))
+            for r in out.to_pylist()]
+    dealt = collections.Counter(x for r in rows if r["size"] for x in np.frombuffer(r["token"], np.uint64).tolist())
+    assert dealt and max(dealt.values()) <= 3
+    ends = [np.frombuffer(r[c], np.int64) for r in rows if not r["size"] for c in ("token", "sig")]
+    assert len(np.unique(np.concatenate(ends))) == 12
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 60)), min_size=1, max_size=30), st.integers(1, 5))
+def test_sets_that_stand_for_others_lose_no_candidate(rows, chunks):
+    """Joining in chunks, then what is left of them, gives the components of all pairs under the bound."""
+    token, size = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32)
+    sig = np.arange(len(rows)) % 20
+    size = size[sig]  # equal sets have equal sizes
+    links, left = [(i, i) for i in sig.tolist()], []
+    for k in range(chunks):
+        *kept, a, b = module._joined(token[k::chunks], sig[k::chunks], size[k::chunks], 80)
+        left.append(kept)
+        links += zip(a.tolist(), b.tolist())
+    *_, a, b = module._joined(*(np.concatenate(x) for x in zip(*left)), 80)
+    links += zip(a.tolist(), b.tolist())
+    wanted = [(sig[i], sig[j]) for i in range(len(rows)) for j in range(i)
+              if token[i] == token[j] and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j])]
+
+    def classes(pairs):
+        root = list(range(20))
+        for _ in range(20):
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+    assert classes(links) == classes(wanted)
+
+
 def test_empty_table(documents):
     assert similar_classes(documents([])).count() == 0
 
