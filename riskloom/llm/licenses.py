@@ -1,17 +1,21 @@
 """Licence notices found by a trained paragraph classifier and confirmed by templates.
 
-Paragraphs are lines; longer ones are read in overlapping pieces of ``PIECE`` words, so none is read
-in part only. A piece is a sparse bag of hashed word n-grams of one to three words. A multinomial
+Texts are read twice: by lines, and by paragraphs, which only blank lines part, so that a notice may be
+wrapped. Longer ones are read in overlapping pieces of ``PIECE`` words, so none is read in part only,
+and paragraphs also in pieces of ``SHORT`` words, in which prose around a short notice weighs less.
+A piece is a sparse bag of hashed word n-grams of one to three words. A multinomial
 logistic regression over the licence families and an unknown class is trained on variations of the
 templates below, and for the unknown class on paragraphs of the corpus (at most ``SAMPLE``, the
 first by hash, of up to 400 characters, without those close to a template) and on sentences about licences that license
 nothing. A temperature fitted on variations and paragraphs that training didn't see calibrates its
-probabilities. A family is reported if its probability is at least ``SURE`` and the piece holds
-enough of the words and word pairs of one of the family's templates.
+probabilities. Every
+family is tested for itself: it is reported if its probability against the unknown class is at least
+``SURE`` and the piece holds enough of the words and word pairs of one of the family's templates, also
+of those that no better covered family of the piece has (so notices may stand side by side, and one
+isn't taken for a like one).
 
 Defined cases: a null or empty text has no paragraphs and no licence; null and repeated ids are rows
-of their own; ties of probability take the family that stands first; an empty table gives an empty
-result.
+of their own; ties of coverage take the likelier family first; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -23,6 +27,8 @@ from riskloom.llm.textblocks import LOWER, blocks, mix, texts_of, word_hashes
 
 SAMPLE = 1500
 PIECE = 64
+#: Words of the shorter pieces that find a short notice wrapped amid prose.
+SHORT = 24
 BINS = 1 << 15
 SURE = 0.5
 #: Share of a template's words and word pairs that confirms it.
@@ -76,18 +82,23 @@ NEAR = (
     "All seats are reserved.", "The commons were open to all.", "Students of MIT won the prize.",
     "The terms of the contract are confidential.", "A copy of the document was obtained by the press.",
 )
+#: Words of which a notice of the family holds one, where others share its wording.
+NAMES = {"GPL": ("gnu general", "gpl", "gplv2", "gplv3", "gpl-2.0", "gpl-3.0", "gpl-2.0-only", "gpl-2.0-or-later",
+                 "gpl-3.0-only", "gpl-3.0-or-later"),
+         "LGPL": ("lesser", "lgpl", "lgpl-2.1-only"), "AGPL": ("affero", "agpl", "agpl-3.0-only")}
 FAMILIES = (*TEMPLATES, "unknown")
 _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in ".,;:!?\"'()[]{}<>*#$%&|/\\"]] = True
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray):
-    """Word n-grams of every line of a block, in pieces.
+def _grams(data: np.ndarray, offsets: np.ndarray, feeds: int = 1, size: int = PIECE):
+    """Word n-grams of every line of a block, in pieces; lines end where ``feeds`` line feeds meet.
 
-    Returns the text of each piece, the piece of each n-gram, its 64-bit hash and its length.
+    Returns the text of each piece, the piece of each n-gram, its 64-bit hash and its length, and the
+    line of each word with the first word of each piece.
     """
     low = LOWER[data]
-    # Punctuation parts words; the line feed parts paragraphs.
+    # Punctuation parts words.
     blank = _STRIP[low] | (low == 32) | ((low >= 9) & (low <= 13))
     solid = ~blank
     edge = np.zeros(len(low) + 1, bool)
@@ -98,18 +109,18 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
         last[:-1] &= blank[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     h = word_hashes(low, starts, ends)
-    line_ends = np.cumsum((low == 10) | edge[:-1]) if len(low) else np.zeros(0, np.int64)
-    line = line_ends[starts]
+    above = np.cumsum(low == 10)[starts]
     text = np.searchsorted(offsets, starts, "right") - 1
     n = len(h)
     fresh = np.ones(n, bool)
-    fresh[1:] = line[1:] != line[:-1]
+    fresh[1:] = (above[1:] - above[:-1] >= feeds) | (text[1:] != text[:-1])
+    line = np.cumsum(fresh)
     begin = np.flatnonzero(fresh)
     nth = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n))) if n else np.zeros(0, np.int64)
     # Pieces start at every half piece of a line; a word is in its own piece and in the one before.
-    half = nth // (PIECE // 2)
+    half = nth // (size // 2)
     key = line * (1 << 20) + half
-    pieces, piece = np.unique(key, return_inverse=True)
+    pieces, leads, piece = np.unique(key, return_index=True, return_inverse=True)
     at, of, length = [], [], []
     for k in (1, 2, 3):
         rows = np.arange(n - k + 1) if n >= k else np.zeros(0, np.int64)
@@ -124,7 +135,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
         length += [np.full(len(rows), k), np.full(int(also.sum()), k)]
     of_text = np.zeros(len(pieces), np.int64)
     of_text[piece] = text
-    return of_text, np.concatenate(of), np.concatenate(at), np.concatenate(length), (line, pieces)
+    return of_text, np.concatenate(of), np.concatenate(at), np.concatenate(length), (line, leads)
 
 
 def _bags(lines: list[str]):
@@ -256,40 +267,77 @@ def _coverage(pairs, needed, of, gram, n) -> np.ndarray:
     return share / needed
 
 
+def _phrases(phrases: tuple) -> set[int]:
+    """The n-gram of each phrase as a whole."""
+    of, gram, length = _bags(list(phrases))
+    words = np.array([len(x.split()) for x in phrases])
+    return set(gram[length == words[of]].tolist())
+
+
+def _notices(model: tuple, of: np.ndarray, gram: np.ndarray, n: int) -> list[tuple[int, int, float]]:
+    """(piece, family, calibrated probability against the unknown class) of the notices of ``n`` pieces."""
+    weight, bias, heat, pairs, needed, family_of = model
+    score = _scores(weight, bias, of, gram, n) / heat
+    chance = 1 / (1 + np.exp(np.clip(score[:, -1:] - score[:, :-1], -50, 50)))
+    some = np.flatnonzero((chance >= SURE).any(1))
+    if not len(some):
+        return []
+    among = np.full(n, -1)
+    among[some] = np.arange(len(some))
+    mine = among[of] >= 0
+    of, gram = among[of[mine]], gram[mine]
+    share = _coverage(pairs, needed, of, gram, len(some))
+    fits = (share >= CONFIRMED) & (chance[some][:, family_of] >= SURE)
+    rows = np.flatnonzero(fits.any(1))
+    order = np.argsort(of, kind="stable")
+    of, gram = of[order], gram[order]
+    grams_of = [set(pairs[0][pairs[1] == t].tolist()) for t in range(len(needed))]
+    named = {f: _phrases(NAMES[x]) for f, x in enumerate(TEMPLATES) if x in NAMES}
+    out = []
+    for k in rows:
+        held = set(gram[np.searchsorted(of, k):np.searchsorted(of, k, "right")].tolist())
+        others: set = set()
+        taken: set = set()
+        for t in sorted(np.flatnonzero(fits[k]), key=lambda t: (-share[k, t], -chance[some[k], family_of[t]])):
+            f = int(family_of[t])
+            own = grams_of[t] - others
+            if f in taken or (f in named and not held & named[f]) or len(own & held) < CONFIRMED * max(1, len(own)):
+                continue
+            taken.add(f)
+            others |= set().union(*(grams_of[x] for x in np.flatnonzero(family_of == f)))
+            out.append((int(some[k]), f, float(chance[some[k], f])))
+    return out
+
+
 def scan(docs: DataFrame, model: tuple, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: (doc_id, licenses, n_paragraphs, n_licensed, sureness).
 
-    ``licenses`` names the families in order of the alphabet, ``n_licensed`` counts the pieces that
+    ``licenses`` names the families in order of the alphabet, ``n_licensed`` counts the paragraphs that
     hold a notice, and ``sureness`` is the least calibrated probability among them.
     """
     kind = dict(docs.dtypes)[ident]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        weight, bias, heat, pairs, needed, family_of = shared.value
         for batch in batches:
             for low, high, data, offsets in blocks(texts_of(batch.column("text")), 1 << 20):
                 n = high - low
-                of_text, of, gram, _, (line, pieces) = _grams(data, offsets)
-                chance = _softmax(_scores(weight, bias, of, gram, len(of_text)) / heat)
-                best = chance.argmax(1) if len(chance) else np.zeros(0, np.int64)
-                some = np.flatnonzero((best < len(FAMILIES) - 1) & (chance.max(1, initial=0) >= SURE))
                 names: list[set] = [set() for _ in range(n)]
-                count, sure = np.zeros(n, np.int64), np.full(n, np.nan)
-                if len(some):
-                    among = np.full(len(of_text), -1)
-                    among[some] = np.arange(len(some))
-                    mine = among[of] >= 0
-                    share = _coverage(pairs, needed, among[of[mine]], gram[mine], len(some))
-                    for k, p in enumerate(some):
-                        f = best[p]
-                        if (share[k] * (family_of == f)).max() >= CONFIRMED:
-                            t = of_text[p]
-                            names[t].add(FAMILIES[f])
-                            count[t] += 1
-                            sure[t] = np.nanmin([sure[t], chance[p, f]])
-                paragraphs = np.bincount(of_text[np.unique(pieces >> 20, return_index=True)[1]], minlength=n) \
-                    if len(pieces) else np.zeros(n, np.int64)
+                held: list[set] = [set() for _ in range(n)]
+                sure = np.full(n, np.nan)
+                paragraphs = np.zeros(n, np.int64)
+                paragraph = np.zeros(0, np.int64)
+                for feeds, size in ((2, PIECE), (2, SHORT), (1, PIECE)):
+                    of_text, of, gram, _, (line, leads) = _grams(data, offsets, feeds, size)
+                    if not len(paragraph):
+                        paragraph = line
+                        paragraphs = np.bincount(of_text[np.unique(line[leads], return_index=True)[1]], minlength=n)
+                    for p, f, chance in _notices(shared.value, of, gram, len(of_text)):
+                        t = of_text[p]
+                        names[t].add(FAMILIES[f])
+                        held[t].add(int(paragraph[leads[p]]))
+                        sure[t] = np.nanmin([sure[t], chance])
+                count = np.array([len(x) for x in held], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id")[low:high], pa.array([",".join(sorted(x)) for x in names]),
                      pa.array(paragraphs), pa.array(count), pa.array(sure, mask=count == 0)],

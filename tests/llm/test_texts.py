@@ -271,6 +271,27 @@ def test_licenses_of_odd_rows_and_close_calls(odd):
     assert [r["licenses"] for r in sorted(rows.collect())] == ["", "MIT", "CC-BY-SA"]
 
 
+GPL_HEADER = ("This program is free software: you can redistribute it and/or modify\n"
+              "it under the terms of the GNU General Public License as published by\n"
+              "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+
+
+@pytest.mark.parametrize("text,families", [
+    (GPL_HEADER, "GPL"), (f"/*\n * {GPL_HEADER.replace(chr(10), chr(10) + ' * ')}\n */\n\ncode", "GPL"),
+    (GPL_HEADER.replace("program", "library").replace("General", "Lesser General"), "LGPL"),
+    ("Licensed under the MIT license. Licensed under the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+    ("Released under the\nMIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"),
+    ("Licensed under the GNU Affero General Public License, version 3.", "AGPL"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL"), ("Released under the ISC License.", "ISC")])
+def test_wrapped_and_dual_notices(spark, documents, text, families):
+    lines = [r["line"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
+        F.substring_index("text", "\n", 1).alias("line")).where("length(line) between 1 and 400").orderBy("line").limit(300).collect()]
+    prose = "\n".join(lines[:6])
+    texts = [text, f"{prose}\n\n{text}\n\n{prose}", f"{prose}\n{text}\n{prose}"]
+    rows = licenses.scan(documents([(i, t, "s") for i, t in enumerate(texts)]), licenses.fit(lines)).collect()
+    assert [r["licenses"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [families] * 3
+
+
 # Secrets
 
 def test_trigram_queries():
