@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from riskloom.llm import (  # noqa: F401
+    q_centroids,
     q_cover_tree,
     q_hilbert,
     q_licenses,
