@@ -21,20 +21,26 @@ def odd_dir(spark, odd, tmp_path_factory):
     rows.coalesce(1).write.parquet(folder + "/documents.parquet")
     spark.createDataFrame([(5, 1, 0), (5, 0, 0), (8, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int") \
         .coalesce(1).write.parquet(folder + "/labels.parquet")
+    vectors = [(1, [0.5] * 64, 0), (1, [0.5] * 64, 0), (2, None, 0), (3, [-0.01] * 64, 1), (None, [2.0] * 64, 1), (4, [1.0], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1) \
+        .write.parquet(folder + "/embeddings.parquet")
     return folder
 
 
+TABLES = ("documents", "labels", "embeddings")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_odd_rows_agree_with_the_sql(spark, odd_dir, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in TABLES:
         con.execute(f"create view {t} as select * from '{odd_dir}/{t}.parquet/*.parquet'")
     assert difference(QUERIES[name](spark, odd_dir), con, ORACLES[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_empty_tables(spark, odd_dir, tmp_path, name):
-    for t in ("documents", "labels"):
+    for t in TABLES:
         spark.read.parquet(f"{odd_dir}/{t}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
