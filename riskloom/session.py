@@ -48,6 +48,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
 
 
+def written(df, name: str):
+    """Writes a table that several plans read to the scratch folder, and reads it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df):
     """Cut lineage through the reliable checkpoint folder."""
     context = df.sparkSession.sparkContext
