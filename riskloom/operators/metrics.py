@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.labels import ratio
+from riskloom.operators.selection import placed, range_cuts
+from riskloom.session import written
 
-RAW_BUCKETS = 4096
+RAW_ROWS = 200_000       # distinct raw scores whose running sums one task works out
 
 
 def confusion(df: DataFrame, by: list[str] = (), label: str = "fraude",
@@ -79,12 +81,12 @@ def curve(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str =
     counts ``p, n`` at the score itself; with a prediction also ``p1, n1``, those predicted 1.
 
     For whole-number scores the window runs over distinct scores, at most 10,001 per group for
-    ``q``. Raw scores have no such bound: there the running sums work per bucket of [0, 1], and
-    only bucket totals are summed in one place. ``buckets`` is their number.
+    ``q``. Raw scores have no such bound: there the distinct scores are written once and cut into
+    ranges of counted size wherever they lie, running sums work inside each range, and only the
+    totals of ranges are summed in one place. ``buckets`` asks for that many ranges at least.
     """
     by = list(by)
-    if buckets is None and not isinstance(df.schema[score].dataType, T.IntegralType):
-        buckets = RAW_BUCKETS
+    raw = buckets is not None or not isinstance(df.schema[score].dataType, T.IntegralType)
     y = F.col(label)
     counts = {"p": F.count_if(y == 1), "n": F.count_if(y == 0)}
     if prediction:
@@ -94,13 +96,15 @@ def curve(df: DataFrame, by: list[str] = (), label: str = "fraude", score: str =
         *[c.alias(name) for name, c in counts.items()]).withColumn("_all", F.lit(0))
     keys = [*by, "_all"]
     whole = W.partitionBy(*keys)
-    if buckets is None:
+    if not raw:
         upto = W.partitionBy(*keys).orderBy(F.desc("umbral")).rowsBetween(
             W.unboundedPreceding, 0)
         return at.select(*by, "umbral", *counts, F.sum("p").over(upto).alias("tp"),
                          F.sum("n").over(upto).alias("fp"), F.sum("p").over(whole).alias("pos"),
                          F.sum("n").over(whole).alias("neg"))
-    at = at.withColumn("_b", F.floor(F.col("umbral") * buckets))
+    at = written(at, "scores")
+    size = max(1, at.count() // buckets) if buckets else RAW_ROWS
+    at = placed(at, "umbral", range_cuts(at, "umbral", size)).withColumnRenamed("_r", "_b")
     before = W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     sums = at.groupBy(*keys, "_b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn")).select(
         *keys, "_b", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("tp0"),

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from riskloom.operators.selection import keys_at
+
 HASH_PREFIX = 5          # 16**5 buckets: about a million rows each at a trillion rows
-ID_BITS = 20             # ids per bucket: at most 2**20
 
 
 def keys_at_ranks(df: DataFrame, by: list[str], key: list[str], bucket: Column,
@@ -75,24 +76,19 @@ def mark_first_by_hash(df: DataFrame, by: str, id_col: str, seed: int, flag: str
             .select(*df.columns, flag))
 
 
-def value_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a double: 64 steps per power of two, for both signs."""
-    step, offset = 64, 64 * 1100
-    up = F.floor(F.log2(F.abs(value)) * step).cast("long") + offset
-    return F.when(value > 0, up).when(value < 0, -up).otherwise(F.lit(0).cast("long"))
-
-
 def column_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct values with their counts, long form ``(columna, value, n)``; NaN and null drop."""
+    """Values in long form ``(columna, value)``; NaN and null drop."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("columna"), F.nanvl(F.col(c).cast("double"), F.lit(None))
                  .alias("value")) for c in cols])).alias("p")
-    return (df.select(pairs).select("p.*").filter("value is not null")
-            .groupBy("columna", "value").agg(F.count("*").alias("n")))
+    return df.select(pairs).select("p.*").filter("value is not null")
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles, rows ``(columna, prob, quantile)``."""
+    """Exact linear-interpolated quantiles, rows ``(columna, prob, quantile)``.
+
+    Each value is counted where it lies; only the few values around a quantile are ever sorted.
+    """
     def as_targets(sizes: DataFrame) -> DataFrame:
         wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
         pos = sizes.select("columna", "n", wanted).withColumn(
@@ -106,8 +102,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
                      F.col("s.side").alias("side")).alias("target"),
             (F.col("s.r") + 1).alias("k"))
 
-    at = keys_at_ranks(column_values(df, cols), ["columna"], ["value"],
-                       value_bucket(F.col("value")), as_targets, F.col("n"))
+    at = keys_at(column_values(df, cols), ["columna"], "value", as_targets)
     ends = at.groupBy("columna", F.col("target.prob").alias("prob")).agg(
         F.max("target.frac").alias("frac"),
         F.max(F.when(F.col("target.side") == "lo", F.col("value"))).alias("lo"),
@@ -117,7 +112,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
 
 def rank_page(df: DataFrame, page: int, size: int, id_col: str = "tx_id") -> DataFrame:
-    """Rows of one page by id, found by id cuts: the depth of the page costs nothing extra."""
+    """Rows of one page by id, found by id cuts: neither the depth of the page nor the spread of the
+    ids costs anything extra."""
     first, last = (page - 1) * size, page * size
 
     def as_targets(sizes: DataFrame) -> DataFrame:
@@ -127,8 +123,7 @@ def rank_page(df: DataFrame, page: int, size: int, id_col: str = "tx_id") -> Dat
                      F.least(F.lit(last).cast("long"), F.col("n")).alias("k")))).alias("e")
         return sizes.select("_all", ends).select("_all", F.col("e.t").alias("target"), "e.k")
 
-    cuts = keys_at_ranks(df.select(one_group(id_col).alias("_all"), id_col), ["_all"], [id_col],
-                         F.shiftright(F.col(id_col), ID_BITS), as_targets)
+    cuts = keys_at(df, [], id_col, as_targets)
     bounds = cuts.agg(F.max(F.when(F.col("target") == "after", F.col(id_col))).alias("a"),
                       F.max(F.when(F.col("target") == "upto", F.col(id_col))).alias("b"))
     rows = df.filter(F.col(id_col) <= bounds.select("b").scalar())

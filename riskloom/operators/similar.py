@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.operators.selection import placed
+
 BAND = 1000              # 0.10
 BROADCAST_REFS = 10_000  # reference rows that may be sent to every executor
-SALTS = 64
+RANGE_ROWS = 1_000_000   # rows from which a range of probabilities is cut off
 
 STATE, PLACE, DUE = "Estado_tarjeta", "Localizacion_tarjeta", "Cuotas_mora"
 
@@ -42,31 +44,48 @@ def similar_to(df: DataFrame, tx_id: int, id_col: str = "tx_id") -> DataFrame:
     return near.filter(hits >= 2).drop("_r")
 
 
+def band_cuts(df: DataFrame, rows: int = RANGE_ROWS) -> list[float]:
+    """Starts of ranges of ``q`` that are two bands wide or wider and hold ``rows`` rows or more.
+
+    Rows are counted per band width; the driver gets one count for each, eleven for probabilities.
+    """
+    cells = df.where("q is not null").groupBy(F.floor(F.col("q") / BAND).alias("cell")).count().collect()
+    cuts, start, held = [], None, 0
+    for cell, n in sorted((r["cell"], r["count"]) for r in cells):
+        if start is None or (held >= rows and cell - start >= 2):
+            cuts, start, held = [*cuts, float(cell * BAND)], cell, 0
+        held += n
+    return cuts[1:]
+
+
+def on_their_bands(refs: DataFrame, cuts: list[float]) -> DataFrame:
+    """References copied to each range that their band touches. A range is at least as wide as a
+    band, so those are two at most."""
+    ends = refs.withColumns({"_low": F.col("q") - BAND, "_high": F.col("q") + BAND})
+    low = placed(ends, "_low", cuts).withColumnRenamed("_r", "_first")
+    high = placed(low, "_high", cuts).withColumnRenamed("_r", "_last")
+    return high.withColumn("_r", F.explode(F.sequence("_first", "_last"))).drop("_low", "_high", "_first", "_last")
+
+
 def similar_rows(df: DataFrame, refs: DataFrame, id_col: str = "tx_id",
-                 broadcast_refs: int = BROADCAST_REFS) -> DataFrame:
+                 broadcast_refs: int = BROADCAST_REFS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Pairs ``(ref_id, tx_id)`` for a set of reference rows.
 
-    Band join on the probability bucket and its two neighbours. Few references are broadcast;
-    more of them are copied over the salts of each bucket, so no bucket is one task.
+    Few references are broadcast, each to its bucket of probabilities and both neighbours. More of
+    them go through a band join over ranges cut where the counted rows are: a row lies in one range, a
+    reference in two at most, and adaptive execution splits the rows of a range that is large.
     """
     cols = [id_col, STATE, PLACE, DUE, "q"]
-    wide = F.explode(F.array(*[F.floor(F.col("q") / BAND) + d for d in (-1, 0, 1)]))
-    few = refs.select(id_col).limit(broadcast_refs + 1).count() <= broadcast_refs
-    right = refs.select(*cols).withColumn("_bucket", wide)
-    left = df.select(*cols).withColumn("_bucket", F.floor(F.col("q") / BAND))
-    keys = ["_bucket"]
-    if few:
-        right = F.broadcast(right)
+    left, right = (side.select(*cols).where("q is not null") for side in (df, refs))
+    if refs.select(id_col).limit(broadcast_refs + 1).count() <= broadcast_refs:
+        left = left.withColumn("_r", F.floor(F.col("q") / BAND))
+        right = F.broadcast(right.withColumn("_r", F.explode(F.array(*[
+            F.floor(F.col("q") / BAND) + d for d in (-1, 0, 1)]))))
     else:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        right = right.withColumn("_salt", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        keys = ["_bucket", "_salt"]
+        cuts = band_cuts(left, range_rows)
+        left, right = placed(left, "q", cuts), on_their_bands(right, cuts)
     t, r = left.alias("t"), right.alias("r")
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"t.{k}") == F.col(f"r.{k}"))
-    on = (on & (F.abs(F.col("t.q") - F.col("r.q")) <= BAND)
+    on = ((F.col("t._r") == F.col("r._r")) & (F.abs(F.col("t.q") - F.col("r.q")) <= BAND)
           & (F.col(f"t.{id_col}") != F.col(f"r.{id_col}")) & (traits_shared("t", "r") >= 2))
     return t.join(r, on).select(F.col(f"r.{id_col}").alias("ref_id"), F.col(f"t.{id_col}"))
 

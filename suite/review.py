@@ -37,6 +37,23 @@ def similar_many(spark, sf_dir):
     return similar.similar_rows(rows, _alerts(rows))
 
 
+# the most probable fraud of every run, card type and state
+_RUN_ALERTS = """(select arg_min(t, (-q, tx_id)) as t from scored t
+  group by run_id, Tipo_tarjeta, Estado_tarjeta)"""
+
+
+@query(f"""select a.tx_id as ref_id, count(*) as n_similares, min(b.tx_id) as primera, max(b.tx_id) as ultima
+  from scored a join scored b on {_SIMILAR} where a.tx_id in (select t.tx_id from {_RUN_ALERTS})
+  group by a.tx_id""", "scored")
+def similar_band(spark, sf_dir):
+    """Through the band join over ranges, whatever the number of references."""
+    rows = adapter.scored_tx(spark, sf_dir)
+    top = F.min_by(F.struct(*rows.columns), F.struct(-F.col("q"), F.col("tx_id")))
+    refs = rows.groupBy("run_id", "Tipo_tarjeta", "Estado_tarjeta").agg(top.alias("r")).select("r.*")
+    return similar.similar_rows(rows, refs, broadcast_refs=0).groupBy("ref_id").agg(
+        F.count("*").alias("n_similares"), F.min("tx_id").alias("primera"), F.max("tx_id").alias("ultima"))
+
+
 @query(f"""select ref_id, tx_id, orden from (select ref_id, tx_id, row_number() over (
     partition by ref_id order by tx_id) as orden from ({_PAIRS})) where orden <= 5""", "scored")
 def similar_preview(spark, sf_dir):

@@ -57,6 +57,16 @@ def test_similar_rows_broadcast_and_salted(scored, pairs, few):
     assert len(got) == len(set(got)) and set(got) == pairs
 
 
+@pytest.mark.parametrize("rows", [1, 60, 200])
+def test_band_join_copies_a_reference_twice_at_most(scored, pairs, rows):
+    got = [tuple(r) for r in similar.similar_rows(scored, scored, broadcast_refs=0, range_rows=rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    cuts = similar.band_cuts(scored, rows)
+    assert len(cuts) >= 1 and all(b - a >= 2 * similar.BAND for a, b in zip(cuts, cuts[1:]))
+    copies = similar.on_their_bands(scored, cuts).groupBy("tx_id").count()
+    assert copies.agg({"count": "max"}).first()[0] == 2
+
+
 def test_similar_one_and_preview(scored, pairs):
     want = sorted(b for a, b in pairs if a == 7)
     assert sorted(r.tx_id for r in similar.similar_to(scored, 7).collect()) == want
