@@ -27,7 +27,7 @@ def mark_one(scored: DataFrame, feedback: DataFrame, tx_id: int) -> None:
         raise ValueError(f"Índice inválido: {tx_id}")
 
 
-def _is_error() -> Column:
+def error_flag() -> Column:
     return F.coalesce(F.col("fraude").cast("int") != F.col("prediccion").cast("int"),
                       F.lit(False))
 
@@ -37,9 +37,14 @@ def review_state(df: DataFrame, by: list[str]) -> DataFrame:
     is no error, so the share can pass 100; ``n_err_revisadas`` counts reviewed errors only."""
     reviewed = F.col("etiqueta_usuario").isNotNull()
     counts = df.groupBy(*by).agg(
-        F.count_if(_is_error()).alias("n_errores"),
+        F.count_if(error_flag()).alias("n_errores"),
         F.count_if(reviewed).alias("n_revisadas"),
-        F.count_if(_is_error() & reviewed).alias("n_err_revisadas"))
+        F.count_if(error_flag() & reviewed).alias("n_err_revisadas"))
+    return review_columns(counts)
+
+
+def review_columns(counts: DataFrame) -> DataFrame:
+    """Shares and verdicts from the counts of each run."""
     err, rev = F.col("n_errores"), F.col("n_revisadas")
     return counts.withColumns({
         "pct_revision": percent_tenths(rev, err),
@@ -97,7 +102,7 @@ def run_summary(df: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_filas"),
         F.count_if(F.col("prediccion") == 1).alias("n_fraudes"),
         F.count_if(F.col("prediccion") == 0).alias("n_legitimas"),
-        F.count_if(_is_error()).alias("n_errores"),
+        F.count_if(error_flag()).alias("n_errores"),
         F.count("etiqueta_usuario").alias("n_revisadas"))
     err, rev = F.col("n_errores"), F.col("n_revisadas")
     return counts.withColumns({

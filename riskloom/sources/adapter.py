@@ -73,13 +73,25 @@ def scored_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analyst verdicts from the event stream: two events in a row judge the same transaction."""
+    return verdicts(table(spark, sf_dir, "events"))
+
+
+def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts as a stream over the files of the events."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    kind = spark.read.parquet(path).schema
+    # a pattern, as a stream reads no path of a single file
+    return verdicts(spark.readStream.schema(kind).parquet(path[:-1] + "[t]"))
+
+
+def verdicts(events: DataFrame) -> DataFrame:
+    """Analyst verdicts from events: two events in a row judge the same transaction."""
     event = F.col("event_type")
     mark = (F.when(event == "click", schema.MARK_TRUE).when(event == "view", schema.MARK_FALSE)
             .otherwise("dudoso"))
     user = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("analista_"),
                                                       F.col("user_id").cast("string")))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("ts").alias("timestamp"), user.alias("usuario"),
         F.floor(F.col("event_id") / 2).cast("long").alias("indice"), mark.alias("marcacion"),
         F.col("event_id").alias("seq"))
