@@ -91,12 +91,8 @@ _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in ".,;:!?\"'()[]{}<>*#$%&|/\\"]] = True
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, feeds: int = 1, size: int = PIECE):
-    """Word n-grams of every line of a block, in pieces; lines end where ``feeds`` line feeds meet.
-
-    Returns the text of each piece, the piece of each n-gram, its 64-bit hash and its length, and the
-    line of each word with the first word of each piece.
-    """
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word of a block, the line feeds before it, and its text."""
     low = LOWER[data]
     # Punctuation parts words.
     blank = _STRIP[low] | (low == 32) | ((low >= 9) & (low <= 13))
@@ -109,11 +105,32 @@ def _grams(data: np.ndarray, offsets: np.ndarray, feeds: int = 1, size: int = PI
         last[:-1] &= blank[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     h = word_hashes(low, starts, ends)
-    above = np.cumsum(low == 10)[starts]
-    text = np.searchsorted(offsets, starts, "right") - 1
-    n = len(h)
-    fresh = np.ones(n, bool)
+    return h, np.cumsum(low == 10)[starts], np.searchsorted(offsets, starts, "right") - 1
+
+
+def _fresh(above: np.ndarray, text: np.ndarray, feeds: int) -> np.ndarray:
+    """Whether a word is the first one of its line, where ``feeds`` line feeds end a line."""
+    fresh = np.ones(len(text), bool)
     fresh[1:] = (above[1:] - above[:-1] >= feeds) | (text[1:] != text[:-1])
+    return fresh
+
+
+def _gram(h: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    g = np.full(len(rows), k, np.uint64)
+    for j in range(k):
+        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[rows + j])
+    return g
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray, feeds: int = 1, size: int = PIECE):
+    """Word n-grams of every line of a block, in pieces; lines end where ``feeds`` line feeds meet.
+
+    Returns the text of each piece, the piece of each n-gram, its 64-bit hash and its length, and the
+    line of each word with the first word of each piece.
+    """
+    h, above, text = _words(data, offsets)
+    n = len(h)
+    fresh = _fresh(above, text, feeds)
     line = np.cumsum(fresh)
     begin = np.flatnonzero(fresh)
     nth = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n))) if n else np.zeros(0, np.int64)
@@ -125,9 +142,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, feeds: int = 1, size: int = PI
     for k in (1, 2, 3):
         rows = np.arange(n - k + 1) if n >= k else np.zeros(0, np.int64)
         rows = rows[line[rows] == line[rows + k - 1]] if len(rows) else rows
-        g = np.full(len(rows), k, np.uint64)
-        for j in range(k):
-            g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[rows + j])
+        g = _gram(h, rows, k)
         before = piece[rows] - 1
         also = (half[rows] > 0) & (before >= 0)
         at += [g, g[also]]
@@ -267,6 +282,24 @@ def _coverage(pairs, needed, of, gram, n) -> np.ndarray:
     return share / needed
 
 
+def _may_hold(model: tuple, h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The texts of ``n`` that hold, anywhere, enough words and word pairs to confirm a template.
+
+    No piece of another text can be a notice, whatever the classifier says of it.
+    """
+    pairs, needed = model[3], model[4]
+    marked = np.zeros(1 << 16, bool)
+    marked[pairs[0] >> np.uint64(48)] = True
+    of, gram = [], []
+    for k in (1, 2):
+        rows = np.arange(max(0, len(h) - k + 1))
+        g = _gram(h, rows, k)
+        keep = marked[g >> np.uint64(48)] & (text[rows] == text[rows + k - 1])
+        of, gram = [*of, text[rows[keep]]], [*gram, g[keep]]
+    share = _coverage(pairs, needed, np.concatenate(of), np.concatenate(gram), n)
+    return np.flatnonzero((share >= CONFIRMED).any(1))
+
+
 def _phrases(phrases: tuple) -> set[int]:
     """The n-gram of each phrase as a whole."""
     of, gram, length = _bags(list(phrases))
@@ -325,15 +358,19 @@ def scan(docs: DataFrame, model: tuple, text: str = "text", ident: str = "doc_id
                 names: list[set] = [set() for _ in range(n)]
                 held: list[set] = [set() for _ in range(n)]
                 sure = np.full(n, np.nan)
-                paragraphs = np.zeros(n, np.int64)
+                h, above, text_of = _words(data, offsets)
+                paragraphs = np.bincount(text_of[_fresh(above, text_of, 2)], minlength=n)
+                some = _may_hold(shared.value, h, text_of, n)
+                sizes = np.diff(offsets)[some]
+                data = np.concatenate([data[:0], *[data[offsets[t]:offsets[t + 1]] for t in some]])
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
                 paragraph = np.zeros(0, np.int64)
-                for feeds, size in ((2, PIECE), (2, SHORT), (1, PIECE)):
+                for feeds, size in ((2, PIECE), (2, SHORT), (1, PIECE)) if len(some) else ():
                     of_text, of, gram, _, (line, leads) = _grams(data, offsets, feeds, size)
                     if not len(paragraph):
                         paragraph = line
-                        paragraphs = np.bincount(of_text[np.unique(line[leads], return_index=True)[1]], minlength=n)
                     for p, f, chance in _notices(shared.value, of, gram, len(of_text)):
-                        t = of_text[p]
+                        t = some[of_text[p]]
                         names[t].add(FAMILIES[f])
                         held[t].add(int(paragraph[leads[p]]))
                         sure[t] = np.nanmin([sure[t], chance])
