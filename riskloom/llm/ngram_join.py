@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.components import components, forest
 from riskloom.llm.prefix_tree import similar_links
-from riskloom.llm.scratch import numbered, saved
+from riskloom.llm.scratch import lean, numbered, saved
 from riskloom.llm.stripes import STRIPE, add, first_sums, group, row, split
 from riskloom.llm.textblocks import LOWER, blocks, mix, shingles, sorted_sets, texts_of, word_hashes, word_spans
 
@@ -177,7 +177,7 @@ def _ranks(sketch_rows: DataFrame, tasks: int = 16) -> np.ndarray:
     """
     sent = sketch_rows.select(F.col("n").alias("number"), F.col("tag").alias("task_group"), F.col("body").alias("packed"))
     sums = first_sums(sent, max(tasks, sent.rdd.getNumPartitions() // 2))
-    found = sums.repartition(tasks, "number").mapInArrow(_add_stripes, "n long, body binary").toArrow()
+    found = sums.repartition(tasks, "number").mapInArrow(lean(_add_stripes), "n long, body binary").toArrow()
     codes = {k: np.frombuffer(body.as_buffer(), np.uint16)
              for k, body in zip(found.column("n").to_pylist(), found.column("body"))}
     slots = np.zeros(65536, np.int64)
@@ -305,7 +305,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     seen = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for bits in ids.coalesce(16).mapInArrow(mark, "bits binary").toArrow().column(0).to_pylist():
+    for bits in ids.coalesce(16).mapInArrow(lean(mark), "bits binary").toArrow().column(0).to_pylist():
         seen |= np.frombuffer(bits, np.uint8)
     return seen
 
@@ -361,9 +361,9 @@ def candidate_groups(docs: DataFrame, sizes: DataFrame, ranks, size: int, thresh
     """(node, root) over signatures: the components of sets that share a first shingle."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(4, ceil(total * (100 - threshold) / 100 / TASK_SHINGLES))
-    dealt = docs.mapInArrow(_deal(ranks, size, threshold, 8 * tasks),
+    dealt = docs.mapInArrow(lean(_deal(ranks, size, threshold, 8 * tasks)),
                             "part long, token binary, sig binary, size binary")
-    return components(dealt.repartition(tasks, "part").mapInArrow(_meet(threshold), "a long, b long"))
+    return components(dealt.repartition(tasks, "part").mapInArrow(lean(_meet(threshold)), "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: str = "text",
@@ -380,7 +380,7 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     tagged = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"),
                          (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
     docs = tagged.select("id", "text")
-    first = saved(tagged.mapInArrow(_first_pass(size), "kind int, id long, tag long, n long, sig long, body binary"),
+    first = saved(tagged.mapInArrow(lean(_first_pass(size)), "kind int, id long, tag long, n long, sig long, body binary"),
                   "shingles", "kind")
     ranks = spark.sparkContext.broadcast(_ranks(first.where("kind = 1")))
     sizes = first.where("kind = 0").select("id", "n", "sig", "tag")
@@ -394,7 +394,7 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
              .join(maps, (F.col("sig") == F.col("its_sig")) & (F.col("rep") == F.col("its_id")))
              .dropDuplicates(["sig"]).select("root", "sig", "rep", "n", "body"))
     sifted = (small.repartition("root").sortWithinPartitions("root", "sig")
-              .mapInArrow(_sift(threshold), "sig long, rep long, n long, root long"))
+              .mapInArrow(lean(_sift(threshold)), "sig long, rep long, n long, root long"))
     members = saved(members.where(F.col("sets") > SIFTED).select("sig", "rep", "n", "root").unionByName(sifted), "members")
     crowd = (members.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("sets"))
              .withColumn("blocks", F.ceil(F.col("sets") / GROUP).cast("int")))
@@ -406,11 +406,11 @@ def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     sent = saved(sent.withColumnRenamed("sig", "member"), "sent")
     tasks = max(4, ceil((sent.agg(F.sum("n")).first()[0] or 0) / (4 * TASK_SHINGLES)))
     wanted = spark.sparkContext.broadcast(_filter(members.select("rep")))
-    sets = docs.mapInArrow(_send(ranks, wanted, size), "id long, sig long, tokens binary")
+    sets = docs.mapInArrow(lean(_send(ranks, wanted, size)), "id long, sig long, tokens binary")
     rows = (sets.join(sent, (F.col("sig") == F.col("member")) & (F.col("id") == F.col("rep")))
             .select(F.xxhash64("key.group", "key.i", "key.j").alias("key"), "sig", "tokens")
             .repartition(tasks, "key").sortWithinPartitions("key"))
-    classes = components(rows.mapInArrow(_compare(threshold), "a long, b long"))
+    classes = components(rows.mapInArrow(lean(_compare(threshold)), "a long, b long"))
     classes = saved(classes, "classes")
     named = classes.join(reps, F.col("node") == F.col("sig"))
     least = named.groupBy(F.col("root").alias("its_root")).agg(F.min("rep").alias("least"))

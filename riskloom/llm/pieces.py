@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.scratch import lean
 from riskloom.llm.textblocks import blocks, mix, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -292,4 +293,4 @@ def tokenize(docs: DataFrame, vocabulary: dict | None = None, dropout: float = 0
                      pa.array(same, mask=null[low:high])], ["doc_id", out, "n_pieces", "lossless"])
 
     return (docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-            .mapInArrow(work, f"doc_id {kind}, {out} array<int>, n_pieces long, lossless boolean"))
+            .mapInArrow(lean(work), f"doc_id {kind}, {out} array<int>, n_pieces long, lossless boolean"))

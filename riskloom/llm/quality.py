@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.scratch import lean
 from riskloom.llm.textblocks import LOWER, SPACE, blocks, texts_of, word_hashes, word_spans
 
 #: Labelled documents to learn from, at most; these bound what is broadcast.
@@ -144,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
     # Repeated ids are few only by luck, so the limit holds for rows as well.
     found = (rows.select("id", F.col("label").cast("int").alias("label"), "text")
-             .mapInArrow(count, "id long, label int, counts binary").orderBy("id", "counts").limit(sample).toArrow())
+             .mapInArrow(lean(count), "id long, label int, counts binary").orderBy("id", "counts").limit(sample).toArrow())
     if not found.num_rows:
         return None
     labels, counts = found.column("label").to_numpy(), np.empty((found.num_rows, WIDTH), np.float32)
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Neighbours | None, text: str = "text", ident:
 
     kind = dict(docs.dtypes)[ident]
     return (docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(judge, f"doc_id {kind}, score double"))
+            .mapInArrow(lean(judge), f"doc_id {kind}, score double"))
 
 
 def keep_good(docs: DataFrame, model: Neighbours | None, text: str = "text",
@@ -187,4 +188,4 @@ def keep_good(docs: DataFrame, model: Neighbours | None, text: str = "text",
                                      for _, _, data, offsets in blocks(texts_of(batch.column(at)))])
             yield batch.filter(pa.array(values >= threshold))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(lean(judge), docs.schema)

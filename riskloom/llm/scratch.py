@@ -1,5 +1,9 @@
 """Tables written to the shared scratch folder, so that a lost executor costs no recomputation."""
 
+import ctypes
+import ctypes.util
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +26,19 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     while column in docs.columns:
         column += "_"
     return saved(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def lean(work):
+    """``work`` over the batches of a task, after which the Python worker gives back what it freed.
+
+    Workers are kept for later tasks, and beside a stage that runs no Python what they still hold
+    counts against the memory of their executor.
+    """
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # a C library without it
+            pass
+    return run
