@@ -8,15 +8,16 @@ merged and ranked by the true distance of the original vectors in double precisi
 
 Neighbours that are far apart on one curve are close on another. How many curves and how long blocks
 have to be depends on the data; ``recall`` measures it against all rows. Blocks grow as the number
-of rows to the power 0.75, so that recall holds as data of a high dimension grows.
+of rows to the power 0.75, so that recall holds as data of a high dimension grows. Vectors of
+different lengths have no distance, so each length has curves of its own, in the same jobs.
 
 Equal vectors are one class, known by its least ids: as many as a query can return, so a large
 class neither fills the windows of others nor loses a row that belongs into a result.
 
-Defined cases: rows with a null id, and vectors that are null, empty, zero, hold null or non-finite
-numbers or have another length than most, take no part; rows that repeat a query's id are left out
-of its own result; fewer candidates than asked for are all returned; an empty table gives an empty
-result.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part;
+a query leaves out its own row only, so rows that repeat its id, and rows without an id (last among
+ties), are candidates; query rows alike are queries each; fewer candidates than asked for are all
+returned; an empty table gives an empty result.
 """
 
 from math import ceil
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.scratch import saved
-from riskloom.llm.vectors import dtype_of, first_by_hash, main_width, matrix, valid_vectors
+from riskloom.llm.vectors import by_width, dtype_of, matrix, sample_of, valid_vectors, widths
 
 CURVES = 28
 DIMS = 8
@@ -102,19 +103,18 @@ class Curves:
         return self.axes, self.shift, self.low, self.span
 
 
-def _keys(shared, kind, width):
+def _keys(shared, kind):
     def work(batches):
-        axes, shift, low, span = shared.value
+        shapes = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("vec"), kind, width)
-            for c in range(len(axes)):
-                place = (x @ axes[c] - low[c]) / span[c] / 2 + shift[c]
-                cells = np.clip(place * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(cells, BITS)), batch.column("class")],
-                    ["curve", "key", "class"])
+            for width, rows, x in by_width(batch, kind):
+                first, (axes, shift, low, span) = shapes[width]
+                for c in range(len(axes)):
+                    place = (x @ axes[c] - low[c]) / span[c] / 2 + shift[c]
+                    cells = np.clip(place * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), first + c, np.int32)), pa.array(curve_keys(cells, BITS)),
+                         rows.column("class")], ["curve", "key", "class"])
     return work
 
 
@@ -134,11 +134,12 @@ def _numbered(keys: DataFrame, tasks: int) -> DataFrame:
             .select("curve", "class", (F.col("ahead") + F.col("at") - F.col("first")).alias("place")))
 
 
-def _nearest(kind, width: int, keep: int):
+def _nearest(kind, keep: int):
     """For each block its queries' nearest candidates; the block's queries come first."""
     def search(asked, given):
         if not asked or not given:
             return
+        width = len(given[0][1]) // np.dtype(kind).itemsize
         q = matrix(pa.array([v for _, v in asked]), kind, width)
         x = matrix(pa.array([v for _, v in given]), kind, width)
         names = np.array([i for i, _ in given])
@@ -173,29 +174,37 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, curves: int = CURVES
     ``is_query`` is a condition on the column ``id``, the row's id.
     """
     spark, kind = rows.sparkSession, dtype_of(rows, vector)
-    vectors = saved(valid_vectors(rows, ident, vector), "vectors")
-    width = main_width(vectors)
-    vectors = vectors.where(F.col("dim") == width).withColumn("same", F.md5("vec"))
-    first = Window.partitionBy("same").orderBy("id")
-    least = vectors.select("same", "id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    ids = least.groupBy("same").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    bodies = vectors.groupBy("same").agg(F.first("vec").alias("vec"))
-    classes = saved(ids.join(bodies, "same").select(F.col("ids")[0].alias("class"), "ids", "vec", "same"), "vector_classes")
-    total = classes.count()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if total == 0:
-        return spark.createDataFrame([], empty)
-    sample = first_by_hash(classes.select(F.col("class").alias("id"), "vec"), SAMPLE).toArrow()
-    shape = Curves(matrix(sample.column("vec").combine_chunks(), kind, width), curves)
+    vectors = saved(valid_vectors(rows, ident, vector), "vectors").withColumn("same", F.md5("vec"))
+    first = Window.partitionBy("same").orderBy(F.col("id").asc_nulls_last())
+    least = vectors.select("same", "id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    ids = least.groupBy("same").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("ids"))
+    # Of rows with equal ids the first one stands for a query's own row.
+    ids = ids.select("same", F.transform("ids", lambda x, i: F.struct(x["id"].alias("id"), (
+        (i == 0) | ~x["id"].eqNullSafe(F.get("ids", i - 1)["id"])).alias("leads"))).alias("ids"))
+    bodies = vectors.groupBy("same").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    classes = saved(ids.join(bodies, "same"), "vector_classes")
+    totals = widths(classes)
+    if not totals:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    total = sum(totals.values())
     tasks = max(8, ceil(total * curves / 500_000))
+    # An id may be null or name several vectors, so classes go by numbers, in the order of their least ids.
+    least_first = [F.col("ids")[0]["id"].asc_nulls_last(), F.col("same")]
+    classes = saved(classes.repartitionByRange(tasks, *least_first).sortWithinPartitions(*least_first)
+                    .withColumn("class", F.monotonically_increasing_id()), "numbered_classes")
+    shapes = {}
+    for n, width in enumerate(totals):
+        sample = matrix(sample_of(classes, width, SAMPLE).column("vec").combine_chunks(), kind, width)
+        shapes[width] = n * curves, Curves(sample, curves).parts()
     keys = classes.select("class", "vec").mapInArrow(
-        _keys(spark.sparkContext.broadcast(shape.parts()), kind, width), "curve int, key long, class long")
-    size = block_rows(total)
+        _keys(spark.sparkContext.broadcast(shapes), kind), "curve int, key long, class long")
+    sizes = F.array(*[F.lit(block_rows(n)).cast("long") for n in totals.values()])
+    size = F.get(sizes, F.floor(F.col("curve") / curves).cast("int"))
     blocks = _numbered(keys, tasks).groupBy("class").agg(F.collect_list(F.struct(
         "curve", F.floor(F.col("place") / size).alias("block"))).alias("blocks"))
-    queries = saved(vectors.where(is_query).select("same", F.col("id").alias("query_id")).distinct()
+    queries = saved(vectors.where(is_query).groupBy("same", F.col("id").alias("query_id")).agg(F.count("*").alias("times"))
                     .join(classes.select(F.col("same").alias("its"), "class"), F.col("same") == F.col("its"))
-                    .select("query_id", "class"), "queries")
+                    .select("query_id", "class", "times"), "queries")
     asking = queries.select(F.col("class").alias("asking")).distinct()
     placed = (classes.select("class", "vec").join(blocks.withColumnRenamed("class", "of"), F.col("class") == F.col("of"))
               .join(asking, F.col("class") == F.col("asking"), "left")
@@ -207,13 +216,61 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, curves: int = CURVES
             .select("at.curve", "at.block", "at.asks", "class", "vec"))
     met = (sent.repartition(max(8, ceil(total * curves / 100_000)), "curve", "block")
            .sortWithinPartitions("curve", "block", F.desc("asks"), "class")
-           .mapInArrow(_nearest(kind, width, k + 1), "query long, class long, score double"))
+           .mapInArrow(_nearest(kind, k + 1), "query long, class long, score double"))
     best = Window.partitionBy("query").orderBy("score", "class")
     found = (met.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
              .select("query", "class", "score"))
     listed = (found.join(classes.select(F.col("class").alias("its"), "ids"), F.col("class") == F.col("its"))
-              .select("query", "score", F.explode("ids").alias("vec_id")))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (queries.join(listed, F.col("class") == F.col("query")).where("vec_id <> query_id")
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+              .select("query", "its", "score", F.explode("ids").alias("one")))
+    own = (F.col("its") == F.col("class")) & F.col("one.id").eqNullSafe(F.col("query_id")) & F.col("one.leads")
+    order = Window.partitionBy("query_id", "class").orderBy("score", F.col("one.id").asc_nulls_last())
+    ranked = (queries.join(listed, F.col("class") == F.col("query")).where(~own)
+              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return (ranked.withColumn("each", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("one.id").alias("vec_id"), "score"))
+
+
+def recall(rows: DataFrame, queries: int = 200, k: int = 10, ident: str = "vec_id", vector: str = "embedding",
+           **more) -> float:
+    """The share of the true nearest rows that ``nearest`` finds, over a bounded set of queries.
+
+    Queries are the ``queries`` rows of least hash. Their true neighbours come from a pass over all rows:
+    every task measures its rows against the broadcast queries, a batch at a time, and keeps the ``k``
+    nearest of each. A found row counts if it is no farther than the true ``k``-th one; without
+    candidates recall is 1. Ids must be unique.
+    """
+    spark, kind = rows.sparkSession, dtype_of(rows, vector)
+    vectors = saved(valid_vectors(rows, ident, vector), "vectors").where("id is not null")
+    asked = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).toArrow()
+    if not asked.num_rows:
+        return 1.0
+    wanted: dict = {}
+    for batch in asked.to_batches():
+        for width, own, x in by_width(batch, kind):
+            ids, old = wanted.get(width, (np.zeros(0, np.int64), np.zeros((0, width))))
+            wanted[width] = np.concatenate([ids, own.column("id").to_numpy()]), np.concatenate([old, x])
+    shared = spark.sparkContext.broadcast(wanted)
+
+    def measure(batches):
+        for batch in batches:
+            for width, own, x in by_width(batch, kind):
+                if width not in shared.value:
+                    continue
+                ids = own.column("id").to_numpy()
+                for query, v in zip(*shared.value[width]):
+                    away = np.sqrt(((x - v) ** 2).sum(1))
+                    away[ids == query] = np.inf
+                    near = np.sort(away)[:k]
+                    near = near[np.isfinite(near)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), query)), pa.array(near)], ["query", "score"])
+
+    best = Window.partitionBy("query").orderBy("score")
+    true = (vectors.mapInArrow(measure, "query long, score double")
+            .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+            .groupBy("query").agg(F.count("*").alias("all"), F.max("score").alias("farthest")))
+    chosen = [int(i) for ids, _ in wanted.values() for i in ids]
+    found = nearest(rows, F.col("id").isin(chosen), k, ident=ident, vector=vector, **more)
+    hits = (true.join(found, F.col("query") == F.col("query_id"), "left").groupBy("query", "all")
+            .agg(F.count(F.when(F.col("score") <= F.col("farthest"), 1)).alias("hit"))
+            .agg(F.sum("hit"), F.sum("all")).first())
+    return hits[0] / hits[1] if hits[1] else 1.0

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 def valid_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, vec, dim): the raw numbers of every vector that counts.
 
-    Left out are rows whose id or vector is null, and vectors that are empty, zero or hold null or
-    non-finite numbers. Negative zeros become zeros, so that equal vectors have equal bytes.
+    Left out are vectors that are null, empty, zero or hold null or non-finite numbers; an id may be
+    null. Negative zeros become zeros, so that equal vectors have equal bytes.
     """
     wide = "double" in dict(rows.dtypes)[vector]
     kind = np.float64 if wide else np.float32
@@ -19,7 +20,7 @@ def valid_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddi
         for batch in batches:
             column = batch.column("vec")
             for i, id_ in zip(range(batch.num_rows), batch.column("id").to_pylist()):
-                if id_ is None or not column[i].is_valid:
+                if not column[i].is_valid:
                     continue
                 numbers = column[i].values
                 if not len(numbers) or numbers.null_count:
@@ -43,19 +44,26 @@ def dtype_of(rows: DataFrame, vector: str = "embedding"):
     return np.float64 if "double" in dict(rows.dtypes)[vector] else np.float32
 
 
-def main_width(vectors: DataFrame) -> int:
-    """The length that most vectors have, the larger one of two; those of other lengths stand alone."""
-    found = vectors.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return found["dim"] if found else 0
+def widths(classes: DataFrame) -> dict[int, int]:
+    """The number of rows of each length; vectors of different lengths have nothing to do with each other."""
+    return {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy("dim").collect()}
 
 
 def matrix(column: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float64)
 
 
-def first_by_hash(vectors: DataFrame, count: int) -> DataFrame:
-    """A bounded sample that any run and any partitioning finds again: the least hashes of ids."""
-    return vectors.orderBy(F.xxhash64("id"), "id").limit(count)
+def by_width(batch: pa.RecordBatch, kind, vector: str = "vec"):
+    """(length, its rows, their vectors as a matrix) for each length in a batch."""
+    sizes = pc.binary_length(batch.column(vector)).to_numpy() // np.dtype(kind).itemsize
+    for width in np.unique(sizes).tolist():
+        rows = batch.filter(pa.array(sizes == width)) if len(sizes) else batch
+        yield width, rows, matrix(rows.column(vector), kind, width)
+
+
+def sample_of(classes: DataFrame, width: int, count: int) -> pa.Table:
+    """A bounded sample that any run and any partitioning finds again: the least hashes of vectors."""
+    return classes.where(F.col("dim") == width).select("same", "vec").orderBy("same").limit(count).toArrow()
 
 
 def unit(x: np.ndarray) -> np.ndarray:

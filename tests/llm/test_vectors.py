@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.components import forest
 from riskloom.llm.cover_tree import similar_vectors
-from riskloom.llm.hilbert import curve_keys, nearest
+from riskloom.llm.hilbert import curve_keys, nearest, recall
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -23,12 +23,14 @@ def odd_rows():
     out += [(200 + i, tight) for i in range(12)]  # equal vectors
     out += [(300, None), (301, [0] * 6), (302, [1, None, 0, 0, 0, 0]), (303, [float("nan")] * 6), (304, [1e30] * 6),
             (305, [float("inf")] + [0] * 5), (306, []), (307, [1, 2, 3]), (None, tight), (200, tight), (400, 2 * tight)]
+    out += [(308, [1, 2, 3]), (309, [3, 2, 1]), (350, [1, 2, 3.1]), (None, [1, 2, 3]), (None, [0, 0, 1]), (None, [0, 0, 2]),
+            (150, -tight), (150, -tight), (None, random.standard_normal(6)), (310, [5]), (None, None), (None, [0, 0])]
     return out
 
 
 def good(rows):
     return [(i, np.array(v, np.float32).astype(float)) for i, v in rows
-            if i is not None and v is not None and len(v) == 6 and None not in list(v)
+            if v is not None and None not in list(v)
             and np.isfinite(np.array(v, float)).all() and np.array(v, float).any()]
 
 
@@ -36,22 +38,25 @@ def test_links_as_brute_force(spark, monkeypatch):
     import riskloom.llm.cover_tree as module
     monkeypatch.setattr(module, "ROWS", 16)
     rows = odd_rows()
-    valid = good(rows)
-    x = np.stack([v / np.abs(v).max() for _, v in valid])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    linked = x @ x.T >= 0.95
-    np.fill_diagonal(linked, False)
-    node, root = forest(*np.nonzero(linked))
-    of = np.arange(len(valid))
-    of[node] = root
-    least = {r: min(valid[i][0] for i in np.flatnonzero(of == r)) for r in set(of.tolist())}
-    want = sorted((valid[i][0], int(linked[i].sum()), least[of[i]]) for i in range(len(valid)))
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"])
            for r in similar_vectors(table(spark, rows).withColumns({"id": F.lit(1), "vec": F.lit(2), "same": F.lit(3)})).collect()]
     assert len(got) == len(rows)
-    ids = {i for i, _ in valid}
-    assert sorted(g[:3] for g in got if g[0] in ids) == want
-    assert all(g[1] == 0 and g[2] == g[0] for g in got if g[0] not in ids)
+    want = []
+    for size in {len(v) for _, v in good(rows)}:
+        valid = [r for r in good(rows) if len(r[1]) == size]
+        x = np.stack([v / np.abs(v).max() for _, v in valid])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        linked = x @ x.T >= 0.95
+        np.fill_diagonal(linked, False)
+        node, root = forest(*np.nonzero(linked))
+        of = np.arange(len(valid))
+        of[node] = root
+        least = {r: min((valid[i][0] for i in np.flatnonzero(of == r) if valid[i][0] is not None), default=None)
+                 for r in set(of.tolist())}
+        want += [(valid[i][0], int(linked[i].sum()), least[of[i]]) for i in range(len(valid))]
+    want += [(i, 0, i) for i, v in rows if not good([(i, v)])]
+    order = lambda row: tuple((x is None, x) for x in row)
+    assert sorted((g[:3] for g in got), key=order) == sorted(want, key=order)
     assert all(g[3] == (g[0] is not None and g[0] == g[2]) for g in got)
 
 
@@ -69,36 +74,47 @@ def test_no_vectors(spark):
     only = similar_vectors(table(spark, [(1, None), (None, [1, 2])])).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in only) == [(0, 0), (1, 0)]
     assert nearest(table(spark, [(1, None)]), F.lit(True)).count() == 0
+    assert recall(table(spark, [(1, None)])) == 1.0
 
 
 def exact(valid, queries, k):
+    """Of (place, id, vector): all nearest rows of the queries but their own place."""
     out = []
-    for q, v in queries:
-        near = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in valid if i != q)
-        out += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:k])]
+    for own, q, v in queries:
+        near = sorted((float(np.sqrt(((w - v) ** 2).sum())), i is None, i) for at, i, w in valid if at != own and len(w) == len(v))
+        out += [(q, n + 1, i, d) for n, (d, _, i) in enumerate(near[:k])]
     return out
 
 
 def test_nearest_with_ties_copies_and_odd_rows(spark):
     rows = [r for r in odd_rows() if r[0] != 304]
-    valid = list(dict((i, (i, v)) for i, v in good(rows)).values())
-    queries = [(i, v) for i, v in valid if i % 50 == 0]
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(
-        table(spark, rows), F.col("id") % 50 == 0).collect())
-    want = sorted(exact(valid, queries, 10))
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
-    assert [g[2] for g in got] == [w[2] for w in want]
+    valid = [(at, i, v) for at, (i, v) in enumerate(good(rows))]
+    queries = [q for q in valid if q[1] is not None and q[1] % 50 == 0]
+    assert len({len(v) for _, _, v in queries}) == 2 and len({i for _, i, _ in queries}) < len(queries)
+    found = nearest(table(spark, rows).withColumns({"id": F.lit(1), "class": F.lit(2), "curve": F.lit(3)}), F.col("id") % 50 == 0)
+    order = lambda row: (row[0], row[1], row[3], row[2] is None, row[2])
+    got = sorted(((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found.collect()), key=order)
+    want = sorted(((q, n, i, round(d, 9)) for q, n, i, d in exact(valid, queries, 10)), key=order)
+    assert got == want
 
 
 def test_recall_of_real_embeddings(spark, sf_dir):
     rows = spark.read.parquet(sf_dir + "/embeddings.parquet")
     pdf = rows.toPandas()
-    valid = list(zip(pdf.vec_id.tolist(), [np.asarray(v, float) for v in pdf.embedding]))
-    want = {w[::2] for w in exact(valid, [v for v in valid if v[0] % 20 == 0], 10)}
+    valid = [(i, i, np.asarray(v, float)) for i, v in zip(pdf.vec_id.tolist(), pdf.embedding)]
     want = {(w[0], w[2]) for w in exact(valid, [v for v in valid if v[0] % 20 == 0], 10)}
     got = {(r["query_id"], r["vec_id"]) for r in nearest(rows, F.col("id") % 20 == 0).collect()}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    assert recall(rows, queries=50) >= 0.9
+
+
+def test_recall_counts_what_is_missed(spark, monkeypatch):
+    import riskloom.llm.hilbert as module
+    monkeypatch.setattr(module, "block_rows", lambda total: 4)
+    random = np.random.default_rng(3)
+    rows = table(spark, [(i, random.standard_normal(6)) for i in range(400)])
+    share = recall(rows, queries=40, curves=1)
+    assert 0 < share < 0.9 and recall(rows, queries=40, curves=20) > share
 
 
 def test_fewer_rows_than_asked_for(spark):
