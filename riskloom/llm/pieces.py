@@ -2,24 +2,25 @@
 
 The vocabulary of a byte-fallback BPE model is read once on the driver and broadcast as arrays (it
 is as large as the vocabulary, whatever the input). Text is cut before each run of spaces; no piece
-crosses such a cut, so each unit is encoded on its own, and units alike are encoded once a block.
+crosses such a cut, so each unit is encoded on its own.
 
 A unit starts as its characters. The agenda holds every neighbouring pair whose joint text is a
 piece; the pair of the best piece, leftmost first, is taken off. With the chance ``dropout`` it is
 skipped for good, else merged, and the pairs with its new neighbours go on the agenda. Whether a
-candidate is skipped is a keyed hash of the seed, the unit's text and variant, the place and the
-piece; the variant comes from the seed, the document's id and the place of the unit in it. So a
-text is cut in several ways over a corpus, and any run gives the same ones. Without dropout the
-pieces are the library's own.
+candidate is skipped is a keyed hash of the seed, the document's id, the unit's number in it and its
+text, the candidate's place and its piece. So a unit may be cut anew wherever it occurs, and any run
+gives the same cuts. Without dropout the pieces are the library's own.
 
-All units of a block take their turns of the agenda together as arrays; a unit of more than
-``LONG_UNIT`` characters has an agenda of its own.
+All units of a block take their turns of the agenda together as arrays. Units of the same text share
+an agenda as long as their hashes decide alike: where some skip a candidate and others merge it, the
+agenda parts in two. A unit of more than ``LONG_UNIT`` characters has an agenda of its own.
 
 Characters outside the vocabulary become byte pieces, and so does the mark that stands for a space
 where a text itself holds it; thus decoding gives back every text exactly.
 
-Defined cases: a null text stays null with null pieces; an empty text has no pieces; a null id
-counts as 0 in the hash; repeated rows get the same pieces; an empty table gives an empty result.
+Defined cases: a null text stays null with null pieces; an empty text has no pieces; an id that isn't
+a whole number counts by its hash, a null one as 0; repeated rows get the same pieces; an empty table
+gives an empty result.
 """
 
 import heapq
@@ -35,8 +36,6 @@ from riskloom.llm.textblocks import blocks, mix, texts_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 LONG_UNIT = 200
-#: Ways in which a unit may be cut over the documents.
-VARIANTS = 8
 _GOLD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 _NO_RANK = np.int64(1 << 30)
@@ -131,14 +130,26 @@ def encode_unit(vocabulary: dict, symbols: list[int], key: int, limit: int) -> l
     return [s for s in symbols if s >= 0]
 
 
-def encode_units(vocabulary: dict, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray,
-                 limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """All units at once: their symbols one after the other, and the bounds of each."""
+def encode_units(vocabulary: dict, symbols: np.ndarray, bounds: np.ndarray, text: np.ndarray, keys: np.ndarray,
+                 limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts of all units, each given by its text (a number) and its key.
+
+    ``symbols`` and ``bounds`` are the characters of the texts. Returned are the pieces of all ways in
+    which texts were cut, the bounds of each way, and the way of every unit.
+    """
     count = np.diff(bounds)
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    for u in np.flatnonzero(count > LONG_UNIT):
-        own = encode_unit(vocabulary, symbols[bounds[u]:bounds[u + 1]].tolist(), int(keys[u]), limit)
-        done.append((np.full(len(own), u), np.array(own, np.int64)))
+    way = text.copy()  # of each unit; the first way of a text has the text's number
+    ways = len(count)
+    known: dict = {}
+    for u in np.flatnonzero((count > LONG_UNIT)[text]):
+        alike = int(text[u]), int(keys[u]) if limit else 0
+        if alike not in known:
+            own = encode_unit(vocabulary, symbols[bounds[text[u]]:bounds[text[u] + 1]].tolist(), int(keys[u]), limit)
+            done.append((np.full(len(own), ways), np.array(own, np.int64)))
+            known[alike], ways = ways, ways + 1
+        way[u] = known[alike]
+    live = np.flatnonzero((count <= LONG_UNIT)[text])  # units whose way goes on
     unit = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(symbols)) - bounds[unit]
     short = (count <= LONG_UNIT)[unit]
@@ -146,13 +157,14 @@ def encode_units(vocabulary: dict, symbols: np.ndarray, bounds: np.ndarray, keys
     edge = np.uint64(limit)
 
     def pieces_at(at: np.ndarray) -> np.ndarray:
-        """Candidates at symbols that aren't the last of their unit."""
+        """Candidates at symbols that aren't the last of their way."""
         return _merged(vocabulary, symbol[at], symbol[at + 1])
 
     piece = np.full(len(symbol), -1)
     inner = np.flatnonzero(unit[1:] == unit[:-1])
     piece[inner] = pieces_at(inner)
     while len(symbol):
+        # Here ``unit`` is the way that a symbol belongs to; ways lie one after the other in ascending order.
         fresh = np.ones(len(unit), bool)
         fresh[1:] = unit[1:] != unit[:-1]
         first = np.flatnonzero(fresh)
@@ -165,11 +177,39 @@ def encode_units(vocabulary: dict, symbols: np.ndarray, bounds: np.ndarray, keys
             moved = np.cumsum(stays) - 1
             best = moved[best[going] & 0xFFFFFFFF]
             symbol, unit, place, piece = symbol[stays], unit[stays], place[stays], piece[stays]
+            ended = np.ones(ways, bool)
+            ended[unit] = False
+            live = live[~ended[way[live]]]
         else:
             best = best & 0xFFFFFFFF
         if not len(symbol):
             break
-        skipped = _skips(keys[unit[best]], place[best], piece[best], edge)
+        skipped = np.zeros(len(best), bool)
+        if limit:
+            # Every unit decides on its way's candidate; where they differ, those that skip it part.
+            row = np.zeros(ways, np.int64)
+            row[unit[best]] = np.arange(len(best))
+            at = row[way[live]]
+            skips = _skips(keys[live], place[best[at]], piece[best[at]], edge)
+            some = np.bincount(at, skips, len(best)) > 0
+            merges = np.bincount(at, ~skips, len(best)) > 0
+            skipped = some & ~merges
+            parting = np.flatnonzero(some & merges)
+            if len(parting):
+                size = np.bincount(row[unit], minlength=len(best))
+                low = np.cumsum(size) - size
+                copied = _ranges(low[parting], size[parting])
+                gone = best[parting] - low[parting] + np.cumsum(size[parting]) - size[parting] + len(symbol)
+                new = np.full(len(best), -1)
+                new[parting] = ways + np.arange(len(parting))
+                leaving = live[skips & (new[at] >= 0)]
+                way[leaving] = new[row[way[leaving]]]
+                ways += len(parting)
+                symbol = np.concatenate([symbol, symbol[copied]])
+                place = np.concatenate([place, place[copied]])
+                piece = np.concatenate([piece, piece[copied]])
+                unit = np.concatenate([unit, np.repeat(new[parting], size[parting])])
+                piece[gone] = -1
         piece[best[skipped]] = -1
         best = best[~skipped]
         symbol[best] = piece[best]
@@ -184,10 +224,10 @@ def encode_units(vocabulary: dict, symbols: np.ndarray, bounds: np.ndarray, keys
         again = again[unit[again] == unit[again + 1]]
         piece[again] = pieces_at(again)
     if not done:
-        return np.zeros(0, np.int64), np.zeros(len(count) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(ways + 1, np.int64), way
     unit, symbol = (np.concatenate(x) for x in zip(*done))
     order = np.argsort(unit, kind="stable")
-    return symbol[order], np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(count)))])
+    return symbol[order], np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=ways))]), way
 
 
 def _with_bytes(vocabulary: dict, symbol: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +253,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def encode(vocabulary: dict, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, dropout: float,
            seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts of a block, and their bounds; ``ids`` key the variants."""
+    """Piece ids of all texts of a block, and their bounds; ``ids`` key the hashes."""
     n = len(offsets) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -241,12 +281,11 @@ def encode(vocabulary: dict, data: np.ndarray, offsets: np.ndarray, ids: np.ndar
     of = text[starts]
     nth = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[of]
     own = mix(ids.astype(np.int64).view(np.uint64)[of] * np.uint64(_GOLD) + np.uint64(seed))
-    variant = mix(own + nth.astype(np.uint64)) % np.uint64(VARIANTS if dropout else 1)
-    key = mix(content + variant * np.uint64(_GOLD) + np.uint64(seed))
-    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    key = mix(content + mix(own + nth.astype(np.uint64)))
+    _, first, same = np.unique(content, return_index=True, return_inverse=True)
     count = np.diff(unit_bounds)[first]
-    symbol, cuts = encode_units(vocabulary, symbols[_ranges(starts[first], count)],
-                                np.concatenate([[0], np.cumsum(count)]), key[first], int(dropout * (1 << 63)))
+    symbol, cuts, same = encode_units(vocabulary, symbols[_ranges(starts[first], count)],
+                                      np.concatenate([[0], np.cumsum(count)]), same, key, int(dropout * (1 << 63)))
     many = np.diff(cuts)[same]
     symbol = symbol[_ranges(cuts[:-1][same], many)]
     symbol, of = _with_bytes(vocabulary, symbol, np.repeat(of, many))
@@ -269,13 +308,15 @@ def tokenize(docs: DataFrame, vocabulary: dict | None = None, dropout: float = 0
     """(doc_id, pieces, n_pieces, lossless): ``lossless`` if decoding gave the very text back."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or load())
     kind = dict(docs.dtypes)[ident]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col(ident).cast("long") if whole else F.when(F.col(ident).isNotNull(), F.xxhash64(ident)), F.lit(0))
 
     def work(batches):
         for batch in batches:
             column = texts_of(batch.column("text"))
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             ids = batch.column("id")
-            keys = np.array([i if isinstance(i, int) else 0 for i in ids.to_pylist()], np.int64)
+            keys = batch.column("key").to_numpy()
             for low, high, data, offsets in blocks(column, 2 << 20):
                 pieces, bounds = encode(shared.value, data, offsets, keys[low:high], dropout, seed)
                 back, at = decode(shared.value, pieces, bounds)
@@ -292,5 +333,5 @@ def tokenize(docs: DataFrame, vocabulary: dict | None = None, dropout: float = 0
                     [ids[low:high], lists, pa.array(np.diff(bounds), mask=null[low:high]),
                      pa.array(same, mask=null[low:high])], ["doc_id", out, "n_pieces", "lossless"])
 
-    return (docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    return (docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), key.alias("key"))
             .mapInArrow(lean(work), f"doc_id {kind}, {out} array<int>, n_pieces long, lossless boolean"))
