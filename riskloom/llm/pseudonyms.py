@@ -20,6 +20,7 @@ texts of any length are scanned whole; an empty table gives an empty result.
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -265,26 +266,29 @@ def _ends(kind: str, m: re.Match) -> list[int]:
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of valid values, in order and without overlap."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order after each kind, and without overlap
 
     def free(start: int, end: int) -> bool:
-        return all(end <= a or b <= start for a, b, _ in taken)
+        at = bisect_left(taken, (end,))  # the spans before it begin before ``end``, the last of them ends last
+        return not at or taken[at - 1][1] <= start
 
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
+        found = []
         if kind == "card":
-            taken += [(a, b, kind) for a, b in _cards(text, free)]
+            taken = sorted(taken + [(a, b, kind) for a, b in _cards(text, free)])
             continue
         at = 0
         while m := PATTERNS[kind].search(text, at):
             start, at = m.start(), m.start() + 1
             for end in _ends(kind, m):
                 if valid(kind, text[start:end]) and free(start, end):
-                    taken.append((start, end, kind))
+                    found.append((start, end, kind))
                     at = end
                     break
-    return sorted(taken)
+        taken = sorted(taken + found)
+    return taken
 
 
 def replace(text: str, cipher: Feistel, spans: list[tuple[int, int, str]]) -> str:
