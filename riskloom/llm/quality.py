@@ -143,9 +143,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                      pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())],
                     ["id", "label", "counts"])
 
+    kind = dict(docs.dtypes)[ident]
     # Repeated ids are few only by luck, so the limit holds for rows as well.
     found = (rows.select("id", F.col("label").cast("int").alias("label"), "text")
-             .mapInArrow(lean(count), "id long, label int, counts binary").orderBy("id", "counts").limit(sample).toArrow())
+             .mapInArrow(lean(count), f"id {kind}, label int, counts binary").orderBy("id", "counts").limit(sample).toArrow())
     if not found.num_rows:
         return None
     labels, counts = found.column("label").to_numpy(), np.empty((found.num_rows, WIDTH), np.float32)

@@ -86,6 +86,23 @@ def test_cuts_vary_over_documents_but_not_over_runs(vocabulary):
     assert found != cut(vocabulary, [text] * 20, 0.3, seed=4)[0]
 
 
+def test_a_unit_may_be_cut_anew_wherever_it_occurs(vocabulary):
+    word = "internationalisation"
+    found, back = cut(vocabulary, [word] * 400, 0.3)
+    assert back == [word] * 400 and len({tuple(f) for f in found}) > 20
+    apart, _ = zip(*[cut(vocabulary, [word], 0.3, ids=np.array([i])) for i in range(400)])
+    assert [a[0] for a in apart] == found     # sharing an agenda changes nothing
+    within, _ = cut(vocabulary, [" ".join([word] * 400)], 0.3)
+    assert len(within[0]) > len(cut(vocabulary, [" ".join([word] * 400)], 0.0)[0][0])
+
+
+def test_pieces_by_text_ids(spark):
+    text = "the thinking of something interesting " * 5
+    rows = spark.createDataFrame([(f"d{i}", text) for i in range(12)] + [(None, text), (None, text)], "doc_id string, text string")
+    got = pieces.tokenize(rows, dropout=0.3).collect()
+    assert all(r["lossless"] for r in got) and len({tuple(r["pieces"]) for r in got}) == 13
+
+
 def test_pieces_of_odd_rows(odd):
     rows = pieces.tokenize(odd.withColumn("pieces", F.lit(1))).collect()
     assert len(rows) == odd.count()
@@ -250,6 +267,14 @@ def test_equal_values_stay_linked(spark, odd):
     assert (a["n_found"], a["kinds"]) == (1, "card")
 
 
+def test_many_values_are_found_in_linear_time():
+    def dates(n):
+        return " ".join(f"{1950 + i % 100}-{1 + i % 12:02d}-{1 + i % 28:02d} 10.0.{i % 256}.1" for i in range(n))
+
+    spans = pseudonyms.find(dates(40_000))  # minutes if each span were held against all others
+    assert len(spans) == 80_000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 # Licences
 
 def test_licenses_of_documents(spark):
@@ -317,3 +342,16 @@ def test_posting_lists_are_split_into_blocks(documents, monkeypatch):
     docs = documents([(i, f"secret: abcdefgh{i:02d}" if i % 3 else "none", "s") for i in range(40)])
     rows = {r["doc_id"]: r["n_assign"] for r in secrets.scan(docs).collect()}
     assert rows == {i: int(i % 3 > 0) for i in range(40)}
+
+
+def test_quality_by_text_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    named = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    docs, labels = docs.withColumn("doc_id", named), labels.withColumn("doc_id", named)
+    model = quality.learn(docs, labels)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    own = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    right = [(r["score"] >= 0.3) == (own[r["doc_id"]] == 1) for r in rows if r["doc_id"] in own]
+    assert sum(right) > 0.9 * len(right)
