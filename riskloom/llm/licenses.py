@@ -5,9 +5,9 @@ wrapped. Longer ones are read in overlapping pieces of ``PIECE`` words, so none
 and paragraphs also in pieces of ``SHORT`` words, in which prose around a short notice weighs less.
 A piece is a sparse bag of hashed word n-grams of one to three words. A multinomial
 logistic regression over the licence families and an unknown class is trained on variations of the
-templates below, and for the unknown class on paragraphs of the corpus (at most ``SAMPLE``, the
-first by hash, of up to 400 characters, without those close to a template) and on sentences about licences that license
-nothing. A temperature fitted on variations and paragraphs that training didn't see calibrates its
+templates below, and for the unknown class on pieces of the lines of all texts (at most ``SAMPLE``, the
+first by hash, without those close to a template or of more than ``PIECE_CHARACTERS``) and on sentences
+about licences that license nothing. A temperature fitted on variations and paragraphs that training didn't see calibrates its
 probabilities. Every
 family is tested for itself: it is reported if its probability against the unknown class is at least
 ``SURE`` and the piece holds enough of the words and word pairs of one of the family's templates, also
@@ -27,6 +27,8 @@ from riskloom.llm.textblocks import LOWER, blocks, mix, texts_of, word_hashes
 
 SAMPLE = 1500
 PIECE = 64
+#: Longer pieces, whose words have sixty characters and more, don't train the unknown class.
+PIECE_CHARACTERS = 4000
 #: Words of the shorter pieces that find a short notice wrapped amid prose.
 SHORT = 24
 BINS = 1 << 15
@@ -230,10 +232,23 @@ def _scores(weight, bias, of, gram, n):
 
 def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> tuple:
     """(weights, bias, temperature, template n-grams) fitted on the driver from bounded samples."""
-    body = F.substring_index(F.regexp_replace(F.col(text), r"^[\n\r]+", ""), "\n", 1).alias("line")
-    rows = docs.select(body).where("length(line) between 1 and 400").distinct()
-    lines = [r["line"] for r in rows.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
-    return fit(lines)
+    return fit([r["piece"] for r in sample_pieces(docs, sample, text).collect()])
+
+
+def sample_pieces(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> DataFrame:
+    """At most ``sample`` different pieces of all lines of all texts: those of least hash.
+
+    Their number, as counted roughly, tells how low a hash has to be, so only few of them are shuffled.
+    """
+    line = docs.select(F.explode(F.split(F.col(text), r"[\n\r]+")).alias("line"))
+    pieces = (line.select(F.explode(F.regexp_extract_all("line", F.lit(rf"(?:\S++\s*+){{1,{PIECE}}}"), F.lit(0))).alias("piece"))
+              .select(F.rtrim("piece").alias("piece")).where(F.length("piece") <= PIECE_CHARACTERS)
+              .withColumn("hash", F.xxhash64("piece")))
+    kinds = pieces.agg(F.approx_count_distinct("hash")).first()[0]
+    low = min(1.0, (2 * sample + 100) / max(1, kinds))
+    most = int(-(1 << 63) + low * ((1 << 64) - 1))
+    rows = pieces if low == 1.0 else pieces.where(F.col("hash") <= F.lit(min(most, (1 << 63) - 1)))
+    return rows.distinct().orderBy("hash", "piece").limit(sample).select("piece")
 
 
 def fit(lines: list[str]) -> tuple:

@@ -277,6 +277,23 @@ def test_many_values_are_found_in_linear_time():
 
 # Licences
 
+def test_pieces_for_the_unknown_class_come_from_all_lines(spark, documents):
+    texts = ["\n".join(f"line {i} {j} " + "w " * (j % 90) for j in range(60)) for i in range(20)] + [None, "", "\n\r\n", "x" * 9000]
+    docs = documents([(i, t, "a") for i, t in enumerate(texts)])
+    wanted = set()
+    for t in texts:
+        for line in (t or "").replace("\r", "\n").split("\n"):
+            words = line.split()
+            wanted |= {" ".join(words[k:k + licenses.PIECE]) for k in range(0, len(words), licenses.PIECE)}
+    wanted.discard("x" * 9000)
+    every = {r["piece"] for r in licenses.sample_pieces(docs, 10_000).collect()}
+    assert every == wanted
+    some = [r["piece"] for r in licenses.sample_pieces(docs, 50).collect()]
+    assert len(some) == len(set(some)) == 50 and set(some) < wanted
+    assert len({p.split()[2] for p in some if p.startswith("line")}) > 20  # not first lines only
+    assert licenses.sample_pieces(documents([]), 50).count() == 0
+
+
 def test_licenses_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2", "GPL": "GNU General Public", "CC-BY-NC": "CC BY-NC"}
