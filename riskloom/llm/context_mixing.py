@@ -4,14 +4,15 @@ A text is its UTF-8 bytes (A to Z lowered) and an end byte. Each byte is predict
 predictor hashes one context (the last bytes of the text, or the word so far) together with
 the first half of the byte into a row of 16 counters; the counters of the whole training corpus are
 summed once and turned into log odds. For every bit position (the gate) a weight vector combines the
-predictors' log odds; weights start alike for every text and learn along it, ``STEP`` bytes at a
-time, from what was just coded. An adaptive map over the mixed odds then corrects the probability
+predictors' log odds; weights start alike for every text and learn along it, up to ``STEP`` bytes
+at a time, from what was just coded. An adaptive map over the mixed odds then corrects the probability
 by how often it was right in this text. The cost is the sum of -log2 of the probabilities given to
 the bits that occurred: a proper code length, as every probability is fixed before its bit is seen.
 
 Training texts are counted by the tasks that read them; each task adds its counters up and sends
 them in stripes, which tasks of the second stage sum one by one as they stream in. The tables have
-``2 ** ROW_BITS`` rows of 16 for each context whatever the corpus, a byte each when broadcast.
+``2 ** ROW_BITS`` rows of 16 for each context whatever the corpus, a byte each when broadcast; what
+grows with the corpus are the longer contexts of ``passages``.
 
 Defined cases: a null text is empty and costs its end byte only; a null id counts as empty text for
 the split; repeated ids are rows of their own; without any training text all bits are even odds.
@@ -33,6 +34,8 @@ CONTEXTS = len(ORDERS) + 1
 ROW_BITS = 18
 #: Bytes that share one state of the weights; they learn from all of them before the next step.
 STEP = 64
+#: The same for the first bytes of a text; each step after them is as long as all before it.
+FIRST_STEP = 16
 #: Bytes of text that are held as bit predictions at once.
 PIECE_BYTES = 1 << 18
 MOST_BYTES = 3 << 19
@@ -177,6 +180,20 @@ def _by_bit(packed: np.ndarray) -> np.ndarray:
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits that the model needs for each text of a block; ``data`` as made by ``_with_ends``."""
+    return np.add.reduceat(byte_costs(model, data, offsets), offsets[:-1], dtype=np.float64)
+
+
+def _steps(size: int):
+    """Ranges of bytes that share a state: short ones at the beginning of a text."""
+    low = 0
+    while low < size:
+        width = min(STEP, max(FIRST_STEP, low))
+        yield low, width
+        low += width
+
+
+def byte_costs(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits that the model needs for each byte of a block."""
     inputs = model.inputs(data, offsets)
     bits = np.unpackbits(data).reshape(-1, 8).view(np.uint64)[:, 0]
     size = np.diff(offsets)
@@ -187,13 +204,13 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     wrong = np.zeros(n * 8 * MAP_BINS)
     tries = np.full(n * 8 * MAP_BINS, MAP_CALM)
     gate = (np.arange(8) * MAP_BINS)[:, None]
-    cost = np.zeros(n)
-    step = np.arange(STEP)
-    for low in range(0, int(size[0]) if n else 0, STEP):
+    cost = np.zeros(len(data), np.float32)
+    for low, width in _steps(int(size[0]) if n else 0):
+        step = np.arange(width)
         live = int(np.searchsorted(-size, -low, "left"))  # the texts longer than ``low``
         cells = live * 8 * MAP_BINS
         at = start[:live, None] + low + step
-        whole = size[live - 1] >= low + STEP
+        whole = size[live - 1] >= low + width
         if not whole:
             inside = step < (size[:live, None] - low)
             at = np.where(inside, at, start[:live, None])
@@ -208,7 +225,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
         dot += 2048
         np.clip(dot, 0, 4095, out=dot)
         level = dot.astype(np.int64)
-        p = _SQUASH[level]
+        p = _SQUASH.take(level)
         error = bit - p
         if not whole:
             error *= inside[:, None, :]
@@ -217,24 +234,26 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
         level >>= 12
         level += gate
         level += (np.arange(live) * (8 * MAP_BINS))[:, None, None]
-        p += (wrong[:cells] / tries[:cells]).astype(np.float32)[level]
+        p += (wrong[:cells] / tries[:cells]).astype(np.float32).take(level)
         np.clip(p, 1 / 4096, 1 - 1 / 4096, out=p)
         p *= 2 * bit - 1
         p += 1 - bit
         p = p[:, :4] * p[:, 4:]
         p = p[:, :2] * p[:, 2:]
         lost = np.log2(p[:, 0] * p[:, 1])
-        if not whole:
-            lost *= inside
-        cost[:live] -= lost.sum(1, dtype=np.float64)
-        if low + STEP < size[0]:
-            wrong[:cells] += np.bincount(level.ravel(), error.ravel(), cells)
-            tries[:cells] += np.bincount(level.ravel(), minlength=cells)
+        if whole:
+            cost[at] = -lost
+        else:
+            cost[at[inside]] = -lost[inside]
+        if low + width < size[0]:
+            # Errors and tries of a bin in one number: an error is less than one, a try counts 1024.
+            moved = np.bincount(level.ravel(), np.add(error, 1024.0, dtype=np.float64).ravel(), cells)
+            tried = np.rint(moved / 1024)
+            wrong[:cells] += moved - 1024 * tried
+            tries[:cells] += tried
             for c in range(CONTEXTS):
                 w[c, :, :, 0] += (RATE / SCALE * 256 / SCALE) * np.einsum("tjs,tjs->tj", x[c], error)
-    out = np.empty(n)
-    out[order] = cost
-    return out
+    return cost
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray):
@@ -254,12 +273,20 @@ def _pieces(data: np.ndarray, offsets: np.ndarray):
         low = high
 
 
+def all_costs(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits that the model needs for each byte of a block of texts, an end byte after each text."""
+    out = np.empty(len(data) + len(offsets) - 1, np.float32)
+    for pick, piece, own in _pieces(data, offsets):
+        costs = byte_costs(model, *_with_ends(piece, own))
+        count = np.diff(own) + 1
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        out[np.arange(len(costs)) + np.repeat(offsets[:-1][pick] + pick - first, count)] = costs
+    return out
+
+
 def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits that the model needs for each text of a block, its end byte included."""
-    bits = np.zeros(len(offsets) - 1)
-    for pick, piece, own in _pieces(data, offsets):
-        bits[pick] = code_lengths(model, *_with_ends(piece, own))
-    return bits
+    return np.add.reduceat(all_costs(model, data, offsets), offsets[:-1] + np.arange(len(offsets) - 1), dtype=np.float64)
 
 
 def is_held_out(ident: Column) -> Column:

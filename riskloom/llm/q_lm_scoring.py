@@ -11,7 +11,8 @@ from riskloom.llm.registry import query, table
 @query()
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scorer = train(docs.where(~is_held_out(F.col("doc_id"))))
-    return score(docs, scorer).select(
+    learnt = ~is_held_out(F.col("doc_id"))
+    scorer = train(docs.where(learnt))
+    return score(docs, scorer, learnt=learnt).select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits")
+        F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits", "bits_per_byte")

@@ -12,8 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.llm import context_mixing, licenses, lm_scoring, pieces, pseudonyms, quality, secrets
-from riskloom.llm.textblocks import blocks, texts_of, word_hashes, word_spans
+from riskloom.llm import context_mixing, licenses, lm_scoring, passages, pieces, pseudonyms, quality, secrets
+from riskloom.llm.textblocks import blocks, mix, texts_of, word_hashes, word_spans
 from riskloom.llm.trigrams import trigram_query, trigrams
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -145,6 +145,80 @@ def test_rare_words_by_join_too(odd, monkeypatch):
     assert sorted(map(key, few)) == sorted(map(key, many))
 
 
+def passages_of(text):
+    """(bytes, hash) of each passage of a text, the end of the text as a byte 0; and where they start."""
+    data = np.frombuffer((text or "").encode().translate(LOWER), np.uint8)
+    offsets = np.array([0, len(data)])
+    starts, ends, bounds = word_spans(data, offsets)
+    h = word_hashes(data, starts, ends)
+    cuts = [0] + [int(e) for e, k in zip(ends, mix(h)) if int(k) % passages.WORDS == 0 and e < len(data)]
+    whole = data.tobytes() + b"\0"
+    parts = [whole[a:b] for a, b in zip(cuts, cuts[1:] + [len(whole)])]
+    _, start, hashes = passages.cut(data, offsets, h, ends, bounds)
+    assert start.tolist() == cuts
+    return list(zip(parts, hashes.view(np.int64).tolist())), cuts
+
+
+@pytest.mark.parametrize("frequent", [100_000, 2])
+def test_passages_as_brute_force(documents, odd, monkeypatch, frequent):
+    monkeypatch.setattr(passages, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    runs = [" ".join(f"w{k}" for k in rng.integers(0, 90, 60)) for _ in range(6)]
+    texts = [f"{runs[rng.integers(6)]}  {runs[rng.integers(6)]}\n{runs[i % 6]} {i}" for i in range(20)] + [runs[0] * 2, runs[0]] * 2
+    docs = odd.unionByName(documents([(100 + i, t, "s") for i, t in enumerate(texts)]))
+    rows = docs.collect()
+    learnt = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    scorer = lm_scoring.train(docs.where(learnt))
+    got = lm_scoring.score(docs, scorer, learnt=learnt).collect()
+    model = context_mixing.Model(dict(scorer.model.tables))
+    follow, bytes_of = collections.defaultdict(collections.Counter), {}
+    cut = [passages_of(r["text"])[0] for r in rows]
+    for r, parts in zip(rows, cut):
+        for part, h in parts:
+            assert bytes_of.setdefault(h, part) == part
+        if r["doc_id"] is not None and r["doc_id"] % 3:
+            for a, b in zip(parts, parts[1:]):
+                follow[a[0]][b[1], b[0]] += 1
+    assert len(set(bytes_of.values())) == len(bytes_of)
+    want, gained = [], 0
+    for r, parts in zip(rows, cut):
+        costs = context_mixing.all_costs(model, *one_block([r["text"] or ""]))
+        at, bits = 0, 0.0
+        pairs = list(zip([None, *parts], parts))
+        for before, (part, h) in pairs:
+            cost = float(costs[at:at + len(part)].sum(dtype=float))
+            at += len(part)
+            if before is not None and before[0] in follow:
+                (_, best), times = max(follow[before[0]].items(), key=lambda kv: (kv[1], kv[0][0]))
+                seen = sum(follow[before[0]].values())
+                if r["doc_id"] is not None and r["doc_id"] % 3:
+                    seen -= sum(a is not None and a[0] == before[0] for a, _ in pairs)
+                    times -= sum(a is not None and a[0] == before[0] and b[0] == part for a, b in pairs) if part == best else 0
+                q = max(0, min(times, seen)) / (seen + 1)
+                new = -math.log2((q if part == best else 0) + (1 - q) * 2.0 ** -cost) if cost < 1000 or (part == best and q) else cost - math.log2(1 - q)
+                gained += new < cost - 1
+                cost = new
+            bits += cost
+        want.append((r["doc_id"] or 0, bits, bits / len(costs)))
+    assert gained > 20
+    have = sorted((r["doc_id"] or 0, r["bits"], r["bits_per_byte"]) for r in got)
+    assert np.allclose(sorted(want), have, rtol=1e-4)
+
+
+def test_copies_of_a_text_are_told_from_single_ones(spark, sf_dir):
+    """A text that the corpus holds twice costs far less a byte than one that it holds once."""
+    docs = spark.read.parquet(sf_dir + "/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.where("length(text) > 1500").orderBy("doc_id").limit(12).collect()]
+    more = spark.createDataFrame([(10_000_000 + i, t[::-1]) for i, t in enumerate(texts + texts[:6])], docs.schema)
+    both, learnt = docs.unionByName(more), ~context_mixing.is_held_out(F.col("doc_id"))
+    scorer = lm_scoring.train(both.where(learnt))
+    got = {r["doc_id"] - 10_000_000: r["bits_per_byte"] for r in lm_scoring.score(both, scorer, learnt=learnt).collect()}
+    held = {i for i in range(18) if zlib.crc32(str(10_000_000 + i).encode()) % 7 == 2}
+    twice = [got[i] for i in range(18) if (i < 6 or i >= 12) and not (i in held or (i + 12 if i < 6 else i - 12) in held)]
+    once = [got[i] for i in range(6, 12)]
+    assert twice and max(twice) < min(once) / 2
+
+
 def test_the_model_gives_each_text_a_probability_of_its_own():
     texts = ["abc abd abc", "", "zz", "abc abd abc" * 30]
     tables = np.random.default_rng(1).integers(-40, 40, context_mixing.CONTEXTS * context_mixing._TABLE).astype(np.int8)
