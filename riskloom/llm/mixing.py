@@ -7,11 +7,13 @@ complete epochs first; the rest of it is filled in the order of exponential keys
 that is needed gives only the words still missing.
 
 No source is ever ordered as a whole: keys fall into 256 buckets an octave, bucket totals locate the
-bucket in which the budget ends, and only the rows of that bucket are sorted.
+bucket in which the budget ends, and only the rows of that bucket are ordered, in ranges of about
+``TOGETHER`` rows. Rows with one id, or none, have one key; ranges part them by number, so they are
+spread like others.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, last
 in order; a null, zero or negative weight counts as ``LEAST_WEIGHT``; repeated rows are documents of
-their own; an empty table gives an empty result.
+their own; rows of one key come by id, then size, then ``tie``; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ LEAST_WEIGHT = 1e-6
 PER_OCTAVE = 256
 #: Sources beyond this number are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rows that are ordered together where a budget ends.
+TOGETHER = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,20 +69,38 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float,
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _behind(rows: DataFrame, ranges: int, few: bool) -> DataFrame:
+    """``rows`` with ``behind``: the words of all rows before each in the order of its source."""
+    order = ["key", "doc_id", "size", "tie", "number"]
+    rows = saved(rows.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id()), "mix_last")
+    earlier = Window.partitionBy("part_source").orderBy("part_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy(F.col("source").alias("part_source"), F.col("range").alias("part_range"))
+              .agg(F.sum("size").alias("words"))
+              .select("part_source", "part_range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before")))
+    inside = Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            .join(F.broadcast(before) if few else before,
+                  F.col("part_source").eqNullSafe(F.col("source")) & (F.col("part_range") == F.col("range")))
+            .withColumn("behind", F.col("before") + F.col("inside")))
+
+
 def mix(docs: DataFrame, size: Column, quality: Column, seed: str = "mix",
         weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        ident: str = "doc_id", source: str = "source", tag: str | None = None) -> DataFrame:
+        ident: str = "doc_id", source: str = "source", tag: str | None = None,
+        tie: Column | None = None) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken, tag), one for each row of ``docs``.
 
-    ``tag`` names a column to hand through, to find the rows again.
+    ``tag`` names a column to hand through, to find the rows again; ``tie`` orders rows of one id and size.
     """
     key = -F.log(uniform(seed, F.col(ident))) / F.greatest(
         F.coalesce(quality.cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     keyed = saved(docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"),
                               size.cast("long").alias("size"), key.alias("key"),
-                              (F.col(tag) if tag else F.lit(None).cast("long")).alias("tag"))
+                              (F.col(tag) if tag else F.lit(None).cast("long")).alias("tag"),
+                              (F.lit(0).cast("long") if tie is None else tie).alias("tie"),
+                              F.monotonically_increasing_id().alias("number"))
                   .withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE).cast("int")), "mix")
-    buckets = saved(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words")),
+    buckets = saved(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows")),
                     "mix_buckets")
     targets = source_targets(
         buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -91,22 +113,22 @@ def mix(docs: DataFrame, size: Column, quality: Column, seed: str = "mix",
             .withColumnRenamed("source", "its")
             .join(targets, F.col("its").eqNullSafe(F.col("source")))
             .where((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("words")))
-            .select("its", F.col("bucket").alias("last_bucket"), "ahead"))
+            .select("its", F.col("bucket").alias("last_bucket"), "ahead", "rows"))
     plan = saved(targets.join(ends, F.col("its").eqNullSafe(F.col("source")), "left")
                  .select(F.col("source").alias("its"), "source_size", "target", "epochs", "rest",
-                         "last_bucket", "ahead"), "mix_plan")
-    few = plan.count() <= BROADCAST_SOURCES
+                         "last_bucket", "ahead", "rows"), "mix_plan")
+    sources, to_order = plan.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    few = sources <= BROADCAST_SOURCES
+    plan = plan.drop("rows")
     rows = keyed.join(F.broadcast(plan) if few else plan, F.col("its").eqNullSafe(F.col("source")))
     ends_here = F.coalesce(F.col("bucket") == F.col("last_bucket"), F.lit(False))
     clear = rows.where(~ends_here).withColumn("extra", F.when(
         F.col("bucket") < F.col("last_bucket"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    order = (Window.partitionBy("source").orderBy("key", "doc_id", "size")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    left = (F.col("rest") - F.col("ahead")
-            - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = rows.where(ends_here).withColumn(
-        "extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
-    return clear.unionByName(last).select(
+    ranges = 1 + to_order // TOGETHER
+    last = _behind(rows.where(ends_here), ranges, sources + ranges <= BROADCAST_SOURCES)
+    left = F.col("rest") - F.col("ahead") - F.col("behind")
+    last = last.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+    return clear.unionByName(last.select(*clear.columns)).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "tag")
 
@@ -118,8 +140,10 @@ def mixed(docs: DataFrame, size: Column, quality: Column, ident: str = "doc_id",
     wanted. A document without words is never taken.
     """
     rows, row = numbered(docs, "mixed")
-    plan = mix(rows.withColumns({"mix_size": size, "mix_quality": quality}), F.col("mix_size"), F.col("mix_quality"),
-               ident=ident, tag=row, **more)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    own = [row + name for name in ("_size", "_quality", "_tie")]
+    plan = mix(rows.withColumns(dict(zip(own, (size, quality, content)))), F.col(own[0]), F.col(own[1]),
+               ident=ident, tag=row, tie=F.col(own[2]), **more)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     wanted = plan.select(F.col("tag").alias("its_row"), copies.alias("its_copies")).where("its_copies > 0")
     body = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body"), F.col(row).alias("own_row"))
