@@ -10,13 +10,17 @@
    same folder again, so nothing counts twice.
 3. ``live_state``: the counts of the runs plus the sum of their moves, the columns of ``review_state``.
 
-State is one small value for each transaction with a verdict. Verdicts on unknown ids change nothing,
-and verdicts without an id are left out.
+State is one value for each of ``BLOCKS`` blocks, to which transactions with a verdict are dealt by a
+hash of their id: a Python call and a state value for each transaction would cost far more than the
+verdicts themselves. A block that gets a verdict is read and written as a whole, so a batch costs its
+verdicts and the blocks that they touch. Verdicts on unknown ids change nothing, and verdicts without
+an id are left out.
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,6 +30,9 @@ from riskloom.operators.review import error_flag, review_columns
 
 CHANGES = "tx_id long, old string, new string"
 MOVES = "n_revisadas long, n_err_revisadas long"
+#: Part of the state's layout: a checkpoint is only good for the number that it began with.
+BLOCKS = 1 << 14
+_BLOCK = pa.schema([("tx_id", pa.int64()), ("place", pa.string()), ("mark", pa.string())])
 
 
 def order_text(order: list[Column]) -> Column:
@@ -40,21 +47,42 @@ def order_text(order: list[Column]) -> Column:
 def changed_marks(feedback: DataFrame, order: list[Column], id_col: str = "indice") -> DataFrame:
     """(tx_id, old, new) whenever the last verdict of a transaction changes. ``order`` tells which of
     two verdicts is later and has to tell them apart: whole numbers, or times to the microsecond."""
-    def last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, old = state.get if state.exists else (None, None)
-        new = old
-        for frame in frames:
-            for place, mark in zip(frame["place"], frame["mark"]):
-                if best is None or place >= best:
-                    best, new = place, mark
-        state.update((best, new))
-        if new != old:
-            yield pd.DataFrame({"tx_id": [key[0]], "old": [old], "new": [new]})
-
     rows = feedback.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("tx_id"), F.col("marcacion").alias("mark"), order_text(order).alias("place"))
-    return rows.groupBy("tx_id").applyInPandasWithState(
-        last, CHANGES, "place string, mark string", "update", GroupStateTimeout.NoTimeout)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("tx_id"), F.lit(BLOCKS)))
+    return dealt.groupBy("block").applyInPandasWithState(
+        _last, CHANGES, "marks binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def _last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps (place, mark) of the last verdict of each transaction of a block."""
+    known = _unpacked(state.get[0]) if state.exists else {}
+    before = {}
+    for frame in frames:
+        for tx, place, mark in zip(frame["tx_id"].tolist(), frame["place"].tolist(), frame["mark"].tolist()):
+            best, old = known.get(tx, (None, None))
+            if best is None or place >= best:
+                before.setdefault(tx, old)
+                known[tx] = (place, mark)
+    if before:
+        state.update((_packed(known),))
+    changed = [(tx, old, known[tx][1]) for tx, old in before.items() if known[tx][1] != old]
+    if changed:
+        yield pd.DataFrame(changed, columns=["tx_id", "old", "new"])
+
+
+def _packed(known: dict) -> bytes:
+    places, marks = zip(*known.values())
+    columns = [pa.array(c, kind, from_pandas=True) for c, kind in zip((list(known), places, marks), _BLOCK.types)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BLOCK) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=_BLOCK))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> dict:
+    ids, places, marks = (c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns)
+    return dict(zip(ids, zip(places, marks)))
 
 
 def moves(changes: DataFrame, scored: DataFrame, run: str = "run_id") -> DataFrame:

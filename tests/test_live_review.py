@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.review import apply_marks, review_state
+from riskloom.streaming import review as streaming
 from riskloom.streaming.review import changed_marks, live_state, order_text, write_changes
 
 LOG = "at long, seq long, indice long, marcacion string"
@@ -55,6 +56,17 @@ def test_a_batch_written_again_counts_once(spark, folder, scored):
     assert {tuple(r) for r in live_state(spark, scored, f"{folder}/out").collect()} == before
 
 
+def test_state_is_kept_by_block(spark, folder, scored, monkeypatch):
+    """A value for each transaction would mean a Python call for each of them, too."""
+    monkeypatch.setattr(streaming, "BLOCKS", 4)
+    rows = marks(3)
+    spark.createDataFrame(rows, LOG).repartition(5).write.parquet(f"{folder}/in")
+    got = run(spark, folder, scored)
+    batch = review_state(apply_marks(scored, spark.createDataFrame(rows, LOG), ["at", "seq"]), ["run_id"])
+    assert {g for g in got if g[0] is not None} == {tuple(r) for r in batch.where("run_id is not null").collect()}
+    assert spark.read.format("statestore").load(f"{folder}/progress").count() <= 4
+
+
 def test_order_text_sorts_like_the_columns(spark):
     values = [None, -(1 << 63), -(1 << 62), -1, 0, 1, 9, 10, (1 << 63) - 1]
     rows = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in values for b in values)]
