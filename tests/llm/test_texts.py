@@ -236,6 +236,24 @@ def test_the_model_gives_each_text_a_probability_of_its_own():
     assert abs((2.0 ** (start - bits)).sum() - 1) < 1e-3
 
 
+def test_inputs_are_the_odds_of_the_cells_and_their_table_is_no_larger():
+    """Each lookup reads half a row, so the table that is looked up in has the size of the odds."""
+    odds = np.random.default_rng(2).integers(-120, 120, context_mixing.CONTEXTS * context_mixing._TABLE).astype(np.int8)
+    model = context_mixing.Model({"odds": odds})
+    data, offsets = context_mixing._with_ends(*one_block(["one two  three", "", "\u00e4 four", "x" * 300]))
+    inputs = model.inputs(data, offsets).view(np.int8).reshape(context_mixing.CONTEXTS, len(data), 8)
+    seen = 0
+    for c, low, high, cells in context_mixing._cells(data, offsets):
+        for at, pair in zip(range(low, high), cells.tolist()):
+            wanted = [odds[c * context_mixing._TABLE + (cell & ~15) + ((1 << j) | ((cell & 15) >> (4 - j)))]
+                      for cell in pair for j in range(4)]
+            assert inputs[c, at].tolist() == wanted
+            assert [cell & 15 for cell in pair] == [data[at] >> 4, data[at] & 15]
+            seen += 1
+    assert seen == context_mixing.CONTEXTS * len(data)
+    assert model.paths().nbytes <= odds.nbytes
+
+
 def test_more_training_makes_like_texts_cheaper(documents):
     train = documents([(i, f"the river runs down to the sea and number {i} follows", "s") for i in range(200)])
     scorer = lm_scoring.train(train)
