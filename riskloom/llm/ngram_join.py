@@ -1,17 +1,21 @@
 """Exact n-gram Jaccard join by prefix trees: groups of documents linked by similar shingle sets.
 
 All sets are ordered by one global order: shingles that look rare in a count sketch of the whole
-corpus come first, ties by hash. Two sets that reach the threshold share at least one of the first
-``n - ceil(t n) + 1`` shingles of each, so
+corpus come first, ties by hash. Two sets that reach the threshold share at least ``k`` of the first
+``n - ceil(t n) + k`` shingles of each, where ``k`` grows with the smaller one (``_extra``), so
 
 1. a pass over the texts fills the sketch (a fixed number of slots, whatever the input) and gives
    each text the size and signature of its set;
-2. a second pass deals those first shingles over tasks. Sets that share one under the length bound
-   are candidates. The task that reads the texts links those among its own sets, copies and near
-   copies alike, and deals of each shingle only a few sets, of sizes that any further candidate passes
-   the bound with: at most two for each growth by 1 / threshold. So what a hot shingle brings to one
-   task grows with the number of reading tasks and not with its rows. Tasks keep spanning forests of
-   candidates, never their pairs; texts with equal sets are one set from here on;
+2. a second pass deals those first shingles over tasks. Of a shingle that at most ``FEW`` sets hold, the
+   pairs under the length bound are counted, and a pair that meets in half of its ``k`` is a
+   candidate; so long texts that share a phrase or two by chance don't grow into one huge group.
+   What else a pair shares are hot shingles, held by more sets: those of them with
+   enough hot ones for that are linked along each hot shingle. The task that reads the texts links
+   at once the sets of a shingle that more than ``FEW_READ`` of its own hold, copies and near copies alike, and
+   deals of these only a few, of sizes that any further candidate passes the bound with: at most two
+   for each growth by 1 / threshold. So what a hot shingle brings to one task grows with the number
+   of reading tasks and not with its rows, and pairs are kept of a bounded number of sets a shingle;
+   texts with equal sets are one set from here on;
 3. components of the candidate graph are the groups that can hold links. Parity maps of the sets (a
    bit or two for each item) split small groups by a bound on how much two sets differ, which loses
    no link. The sets of the members that remain, and of no others, are sent to the group's task,
@@ -54,6 +58,14 @@ TASK_SHINGLES = 1_000_000
 FILTER_BITS = 24
 #: First shingles that are held at once, before those that stand for others are left.
 HELD = 2_000_000
+#: A set has one more first shingle for each of so many in it, which two similar sets share as well.
+EXTRA = 32
+#: Sets of a shingle whose pairs are counted, at most; in the task that reads the texts, and where all meet.
+FEW_READ, FEW = 3, 8
+#: Sets of a shingle that are linked at once where all meet, to bound what a task holds.
+CROWD = 1024
+#: Entries of hot shingles in a stored row, about.
+PACKED = 200_000
 
 
 def _sets(texts: pa.Array, size: int):
@@ -213,7 +225,7 @@ def _joined(token: np.ndarray, sig: np.ndarray, size: np.ndarray, threshold: int
     links = forest(sig[1:][linked], sig[:-1][linked])
     stays = np.ones(len(token), bool)
     stays[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
-    while not stays.all():
+    while True:
         token, sig, size = token[stays], sig[stays], size[stays]
         at = np.arange(len(token))
         fresh = np.ones(len(token), bool)
@@ -221,29 +233,92 @@ def _joined(token: np.ndarray, sig: np.ndarray, size: np.ndarray, threshold: int
         odd = ((at - np.maximum.accumulate(np.where(fresh, at, 0))) & 1).astype(bool)
         stays = np.ones(len(token), bool)
         stays[1:-1] = ~(odd[1:-1] & (token[2:] == token[:-2]) & (100 * size[:-2] >= threshold * size[2:]))
+        if stays.all():
+            break
     return (*(np.concatenate(x) for x in zip(alone, (token, sig, size))), *links)
 
 
+def _extra(n: np.ndarray, threshold: int) -> np.ndarray:
+    """How many of their first shingles a set of ``n`` shares with any similar set that is no smaller."""
+    return np.minimum(1 + n // EXTRA, (n * threshold + 99) // 100)
+
+
+def _needed(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Shared shingles held by few that make a pair a candidate; ``n`` is the size of the smaller set."""
+    return (_extra(n, threshold) + 1) // 2
+
+
+def _prone(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Hot shingles from which on a set may have a similar one that it shares too few others with."""
+    return _extra((n * threshold + 99) // 100, threshold) // 2 + 1
+
+
+def _gathered(token: np.ndarray, sig: np.ndarray, size: np.ndarray):
+    """The entries that are alone with their token, and the others by token, each set once, with the sets of each token.
+
+    A size below zero marks a token that a task has linked sets of; of equal entries the marked one stays.
+    """
+    order = np.argsort(token, kind="stable")
+    token, sig, size = token[order], sig[order], size[order]
+    shared = np.zeros(len(token), bool)
+    shared[1:] |= token[1:] == token[:-1]
+    shared[:-1] |= token[1:] == token[:-1]
+    alone = [x[~shared] for x in (token, sig, size)]
+    token, sig, size = token[shared], sig[shared], size[shared]
+    order = np.lexsort((size, sig, token))
+    token, sig, size = token[order], sig[order], size[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+    token, sig, size = token[fresh], sig[fresh], size[fresh]
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return alone, (token, sig, size), group
+
+
+def _linked(token: np.ndarray, sig: np.ndarray, size: np.ndarray, threshold: int, few: int):
+    """(token, sig, size) that stand for all given, links (a, b), and (set, hot shingles, those it is prone from).
+
+    Only sets of shingles that more than ``few`` sets hold are linked; what stands for them is marked by
+    its size, and all of them are counted as having that hot shingle, but for those marked before.
+    """
+    alone, (token, sig, size), group = _gathered(token, sig, size)
+    hot = (np.bincount(group) > few)[group] if len(group) else np.zeros(0, bool)
+    cold = [x[~hot] for x in (token, sig, size)]
+    token, sig, size = token[hot], sig[hot], size[hot]
+    counted = _hot_counts(sig[size > 0], size[size > 0], threshold)
+    token, sig, size, a, b = _joined(token, sig, np.abs(size), threshold)
+    left = [np.concatenate(x) for x in zip(alone, cold, (token, sig, -size))]
+    return left, (a, b), counted
+
+
+def _hot_counts(sig: np.ndarray, size: np.ndarray, threshold: int):
+    sets, first, times = np.unique(sig, return_index=True, return_counts=True)
+    return sets, times, _prone(size[first].astype(np.int64), threshold)
+
+
 def _deal(ranks, size: int, threshold: int, parts: int):
     """Packs the first shingles of each set by part: shingle, signature and set size.
 
     Only those that stand for all sets of the task are sent. Rows without sizes are links found here,
-    the ends in place of shingle and signature.
+    the ends in place of shingle and signature; with ``times`` they are sets with the number of their
+    hot shingles, and the one they are prone from.
     """
-    def packed(first, second, third):
+    def packed(first, second, third, fourth):
         part = (mix(first.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         full = np.flatnonzero(np.diff(cuts))
-        columns = [x[order] for x in (first, second)] + [third[order] if len(third) else third]
+        columns = [x[order] if len(x) else x for x in (first, second, third, fourth)]
         return pa.RecordBatch.from_arrays(
             [pa.array(full), *[pa.array([x[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary())
-                               for x in columns]], ["part", "token", "sig", "size"])
+                               for x in columns]], ["part", "token", "sig", "size", "times"])
 
     def out(held):
-        token, sig, length, a, b = _joined(*(np.concatenate(x) for x in zip(*held)), threshold)
-        yield packed(token, sig, length.astype(np.int32))
-        yield packed(a, b, np.zeros(0, np.int32))
+        none = np.zeros(0, np.int32)
+        (token, sig, length), (a, b), (sets, times, prone) = _linked(
+            *(np.concatenate(x) for x in zip(*held)), threshold, FEW_READ)
+        yield packed(token, sig, length.astype(np.int32), none)
+        yield packed(a, b, none, none)
+        yield packed(sets, sets, none, np.stack([times, prone], 1).astype(np.int32))
 
     def work(batches):
         held, count = [], 0
@@ -253,7 +328,7 @@ def _deal(ranks, size: int, threshold: int, parts: int):
                 n = np.diff(bounds)
                 sig = _signatures(values, bounds)
                 values = _ordered(values, bounds, ranks.value)
-                first = np.where(ids[low:high] & (n > 0), n - (n * threshold + 99) // 100 + 1, 0)
+                first = np.where(ids[low:high] & (n > 0), n - (n * threshold + 99) // 100 + _extra(n, threshold), 0)
                 doc = np.repeat(np.arange(high - low), first)
                 at = np.arange(len(doc)) - np.repeat(np.cumsum(first) - first, first) + bounds[doc]
                 held.append((values[at], sig[doc], n[doc]))
@@ -266,29 +341,102 @@ def _deal(ranks, size: int, threshold: int, parts: int):
     return work
 
 
+#: Rows where the shingles meet: links, pairs with how often they met and have to, sets with their hot
+#: shingles and those they are prone from, and the entries of hot shingles, packed.
+LINK, PAIR, HOT_COUNT, HOT = range(4)
+MET = "kind int, a long, b long, n int, m int, token binary, sig binary, size binary"
+
+
+def _met(kind: int, a=None, b=None, n=None, m=None, token=None, sig=None, size=None) -> pa.RecordBatch:
+    given = {"a": (a, pa.int64()), "b": (b, pa.int64()), "n": (n, pa.int32()), "m": (m, pa.int32()),
+             "token": (token, pa.binary()), "sig": (sig, pa.binary()), "size": (size, pa.binary())}
+    rows = len(a if a is not None else token)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(rows, kind, np.int32)),
+         *[pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in given.values()]], ["kind", *given])
+
+
+def _pairs(token: np.ndarray, sig: np.ndarray, size: np.ndarray, threshold: int):
+    """(a, b, times, needed) of the pairs of sets that share a token and pass the length bound; sorted by token."""
+    found = []
+    for k in range(1, FEW):
+        i = np.flatnonzero(token[k:] == token[:-k])
+        if not len(i):
+            break
+        low, high = np.minimum(size[i], size[i + k]), np.maximum(size[i], size[i + k])
+        fits = 100 * low >= threshold * high
+        i, low = i[fits], low[fits]
+        found.append((np.minimum(sig[i], sig[i + k]), np.maximum(sig[i], sig[i + k]), low))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    a, b, low = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, a))
+    a, b, low = a[order], b[order], low[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.diff(np.append(first, len(a))), _needed(low[first], threshold)
+
+
 def _meet(threshold: int):
-    """Candidates among the sets of a task that share a first shingle, as spanning forests."""
-    def links(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    """What the sets of a task that share first shingles tell of candidates, in rows of the kinds above."""
+    def counted(sets, times, prone):
+        return _met(HOT_COUNT, a=sets, n=times, m=prone)
+
+    def out(token, sig, size):
+        _, (token, sig, size), group = _gathered(token, sig, size)
+        if not len(token):
+            return
+        hot = ((np.bincount(group) > FEW) | (np.bincount(group, size < 0) > 0))[group]
+        a, b, times, needed = _pairs(token[~hot], sig[~hot], size[~hot], threshold)
+        enough = times >= needed
+        yield _met(LINK, *forest(a[enough], b[enough]))
+        yield _met(PAIR, *(x[~enough] for x in (a, b, times, needed)))
+        token, sig, size = token[hot], sig[hot], size[hot]
+        yield counted(*_hot_counts(sig[size > 0], size[size > 0], threshold))
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        low = 0
+        while low < len(token):
+            after = starts[starts >= low + PACKED]
+            high = int(after[0]) if len(after) else len(token)
+            yield _met(HOT, token=[token[low:high].tobytes()], sig=[sig[low:high].tobytes()],
+                       size=[size[low:high].astype(np.int32).tobytes()])
+            low = high
 
     def work(batches):
         held, count, limit = [], 0, 2 * HELD
         for batch in batches:
-            for token, sig, size in zip(*(batch.column(c) for c in ("token", "sig", "size"))):
+            for token, sig, size, times in zip(*(batch.column(c) for c in ("token", "sig", "size", "times"))):
                 size = np.frombuffer(size.as_buffer(), np.int32)
                 sig = np.frombuffer(sig.as_buffer(), np.int64)
-                if not len(size):
-                    yield links(np.frombuffer(token.as_buffer(), np.int64), sig)
-                    continue
-                held.append((np.frombuffer(token.as_buffer(), np.uint64), sig, size))
-                count += len(size)
+                times = np.frombuffer(times.as_buffer(), np.int32).reshape(-1, 2)
+                if len(times):
+                    yield counted(sig, times[:, 0], times[:, 1])
+                elif not len(size):
+                    yield _met(LINK, a=np.frombuffer(token.as_buffer(), np.int64), b=sig)
+                else:
+                    held.append((np.frombuffer(token.as_buffer(), np.uint64), sig, size.astype(np.int64)))
+                    count += len(size)
             if count > limit:
-                *left, a, b = _joined(*(np.concatenate(x) for x in zip(*held)), threshold)
-                yield links(a, b)
+                left, (a, b), found = _linked(*(np.concatenate(x) for x in zip(*held)), threshold, CROWD)
+                yield _met(LINK, a=a, b=b)
+                yield counted(*found)
                 held, count = [tuple(left)], len(left[0])
                 limit = 2 * max(HELD, count)
         if held:
-            yield links(*_joined(*(np.concatenate(x) for x in zip(*held)), threshold)[3:])
+            yield from out(*(np.concatenate(x) for x in zip(*held)))
+    return work
+
+
+def _hot_links(prone, threshold: int):
+    """Links along the hot shingles of whole stored rows, between sets that are prone or stand for linked ones."""
+    def work(batches):
+        for batch in batches:
+            for token, sig, size in zip(*(batch.column(c) for c in ("token", "sig", "size"))):
+                token = np.frombuffer(token.as_buffer(), np.uint64)
+                sig, size = np.frombuffer(sig.as_buffer(), np.int64), np.frombuffer(size.as_buffer(), np.int32)
+                at = _bits(sig)
+                some = (size < 0) | (prone.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                *_, a, b = _joined(token[some], sig[some], np.abs(size[some]), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     return work
 
 
@@ -358,12 +506,20 @@ def _compare(threshold: int):
 
 
 def candidate_groups(docs: DataFrame, sizes: DataFrame, ranks, size: int, threshold: int) -> DataFrame:
-    """(node, root) over signatures: the components of sets that share a first shingle."""
+    """(node, root) over signatures: the components of sets that share enough first shingles."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(4, ceil(total * (100 - threshold) / 100 / TASK_SHINGLES))
     dealt = docs.mapInArrow(lean(_deal(ranks, size, threshold, 8 * tasks)),
-                            "part long, token binary, sig binary, size binary")
-    return components(dealt.repartition(tasks, "part").mapInArrow(lean(_meet(threshold)), "a long, b long"))
+                            "part long, token binary, sig binary, size binary, times binary")
+    met = saved(dealt.repartition(tasks, "part").mapInArrow(lean(_meet(threshold)), MET), "met")
+    pairs = (met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("m").alias("m"))
+             .where("n >= m").select("a", "b"))
+    prone = (met.where(F.col("kind") == HOT_COUNT).groupBy("a").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
+             .where("n >= m").select("a"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(prone))
+    hot = (met.where(F.col("kind") == HOT).select("token", "sig", "size")
+           .mapInArrow(lean(_hot_links(wanted, threshold)), "a long, b long"))
+    return components(met.where(F.col("kind") == LINK).select("a", "b").union(pairs).union(hot))
 
 
 def similar_classes(docs: DataFrame, size: int = 5, threshold: int = 80, text: str = "text",

@@ -152,3 +152,69 @@ def test_components(spark, links):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     want = {n: 900 if n >= 900 else 0 if len(links) > 5 else 1 for n in nodes}
     assert got == want
+
+
+def test_long_texts_that_share_a_phrase_form_no_group(spark, documents):
+    """Each text shares a phrase with the next one: one candidate group of all, if a shared shingle were enough."""
+    texts = [" ".join([f"p{i}x{k}" for k in range(14)] + [f"t{i}x{k}" for k in range(400)] +
+                      [f"p{i + 1}x{k}" for k in range(14)]) for i in range(60)]
+    texts += [texts[7] + " once more", "and " + texts[7], texts[9]]
+    docs = documents([(i, t, "s") for i, t in enumerate(texts)]).withColumnRenamed("doc_id", "id").select("id", "text")
+    sizes = similar_classes(docs, ident="id").select(F.col("n_shingles").alias("n"))
+    ranks = spark.sparkContext.broadcast(np.zeros(16, np.uint8))
+    groups = module.candidate_groups(docs, sizes, ranks, 5, 80).groupBy("root").count().collect()
+    assert [r["count"] for r in groups] == [3]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10 ** 6), st.integers(1, 4), st.integers(1, 4), st.sampled_from([2, 8, 32]), st.sampled_from([3, 1024]))
+def test_similar_sets_are_always_candidates(seed, few_read, few, extra, crowd):
+    """Near copies whose shingles are held by few, by many or by both stay in one candidate group."""
+    random = np.random.default_rng(seed)
+    base = [random.integers(1, 400, int(random.integers(1, 90))) for _ in range(6)]
+    sets = []
+    for _ in range(50):
+        own = base[int(random.integers(6))].copy()
+        change = random.random(len(own)) < random.choice([0, 0.03, 0.1])
+        own[change] = random.integers(1, 10 ** 6, change.sum())
+        sets.append(np.unique(own))
+    sets = [np.array(s, np.uint64) for s in {tuple(s.tolist()) for s in sets}]
+    before = {k: getattr(module, k) for k in ("FEW_READ", "FEW", "EXTRA", "CROWD", "HELD", "PACKED")}
+    try:
+        module.FEW_READ, module.FEW, module.EXTRA, module.CROWD, module.HELD, module.PACKED = few_read, few, extra, crowd, 100, 50
+        links, rows = [], []
+        for part in range(3):
+            n = np.array([len(s) for s in sets[part::3]])
+            first = n - (n * 80 + 99) // 100 + module._extra(n, 80)
+            left, (a, b), (hot, times, prone) = module._linked(
+                np.concatenate([s[:k] for s, k in zip(sets[part::3], first)]),
+                np.repeat(np.arange(part, len(sets), 3), first), np.repeat(n, first), 80, few_read)
+            links += zip(a.tolist(), b.tolist())
+            cuts = range(0, len(left[0]), 60)  # as batches, so that a task holds too much now and then
+            rows += [[x[i:i + 60].astype(t).tobytes() for x, t in zip(left, (np.uint64, np.int64, np.int32))] + [b""] for i in cuts]
+            rows.append([hot.astype(np.uint64).tobytes(), hot.astype(np.int64).tobytes(), b"",
+                         np.stack([times, prone], 1).astype(np.int32).tobytes()])
+        batches = [pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in r], ["token", "sig", "size", "times"]) for r in rows]
+        met = pa.Table.from_batches(list(module._meet(80)(iter(batches)))).to_pylist()
+        pairs, hot = collections.Counter(), collections.Counter()
+        links += [(r["a"], r["b"]) for r in met if r["kind"] == module.LINK]
+        for r in met:
+            pairs[r["a"], r["b"], r["m"]] += r["n"] if r["kind"] == module.PAIR else 0
+            hot[r["a"], r["m"]] += r["n"] if r["kind"] == module.HOT_COUNT else 0
+        links += [(a, b) for (a, b, m), n in pairs.items() if m is not None and n >= m]
+        bits = np.zeros(1 << module.FILTER_BITS, bool)
+        bits[module._bits(np.array([a for (a, m), n in hot.items() if m is not None and n >= m], np.int64))] = True
+        for r in met:
+            if r["kind"] == module.HOT:
+                one = pa.RecordBatch.from_arrays([pa.array([r[c]], pa.binary()) for c in ("token", "sig", "size")], ["token", "sig", "size"])
+                for found in module._hot_links(SimpleNamespace(value=np.packbits(bits)), 80)(iter([one])):
+                    links += zip(found.column("a").to_pylist(), found.column("b").to_pylist())
+    finally:
+        for k, v in before.items():
+            setattr(module, k, v)
+    node, root = module.forest(np.array([x[0] for x in links] + [0]), np.array([x[1] for x in links] + [0]))
+    of = dict(zip(node.tolist(), root.tolist()))
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(set(sets[i].tolist()), set(sets[j].tolist())):
+                assert of.get(i, i) == of.get(j, j)
